@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm import common, langid, quality
+from gatewell.llm import common, decontam, fingerprint, langid, quality, secrets
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,44 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out("doc_id", 3, 1).alias("held_out"), "q.score", "q.predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    found = decontam.contamination(docs, items, ["doc_id"])
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.fingerprint_edits(common.table(spark, sf_dir, "documents"))
+    like = fingerprint.resemblance
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.serialize("sketch").alias("fingerprint"),
+        fingerprint.serialize("edited_sketch").alias("edited_fingerprint"),
+        like("sketch", "edited_sketch").alias("near_edited"),
+        like("sketch", "next_sketch").alias("near_next"),
+        fingerprint.distinct_shingles("sketch").alias("distinct_shingles"),
+        fingerprint.containment("edited_sketch", "sketch").alias("edited_contained"),
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(common.table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    count = lambda ok: F.size(F.filter("spans", ok)).cast("long")
+    of_kind = lambda rank: count(lambda s: s["rank"] == rank)
+    return found.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: ~s["live"]).alias("n_example"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
