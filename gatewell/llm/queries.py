@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm import common, decontam, fingerprint, langid, quality, secrets
+from gatewell.llm import common, decontam, fingerprint, html_text, langid, pieces, quality, secrets, token_counts, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,29 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return made.select("doc_id", "encoded.*")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"))
+    records = warc.read(index, payload=False)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.main_text(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("text")
+    lengths = token_counts.histogram(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(lengths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
