@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm import common, decontam, fingerprint, html_text, langid, pieces, quality, secrets, token_counts, warc
+from gatewell.llm import common, decontam, fingerprint, html_text, langid, neardup, pieces, quality, secrets, token_counts, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(common.table(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["rank"] < 3)
