@@ -7,8 +7,8 @@ probability of 6e-7.
 
 Equal sets are first collapsed to their smallest id, so copies cost one row each. In every bucket a star of candidate
 pairs joins one centre with the other members; the same order of precedence holds in all buckets, so a document meets
-few centres. Links are confirmed on the full sets of shingle hashes. Buckets whose members do not all hang together then
-get further centres, first those with most links, until every bucket's members are in one component or have all been
+few centres. Pairs whose one-bit hashes are too far apart for the wanted similarity go; links are confirmed on the full sets of shingle hashes. Buckets whose members do not all hang together then
+get further centres, one, then two, four and so on, from their largest components first, until every bucket's members are in one component or have all been
 compared: no bucket is cut off, and the pairs of a bucket of alike documents grow with its members, not their square.
 Components are found by alternating stars, in tables on the shared folder.
 """
@@ -25,9 +25,12 @@ from pyspark.sql.window import Window
 from gatewell.llm import common
 
 BANDS, ROWS = 36, 5
-BINS = BANDS * ROWS
+BINS = 512  # of which the first BANDS * ROWS make bucket keys
+WORDS64 = BINS // 64
+#: At a similarity of 0.8, 51 of the 512 one-bit hashes of the bins differ (deviation 6.8); more than this, once in 4e6.
+MOST_BITS = 86
 SUB_BYTES = 2_000_000  # of text hashed at once, which bounds the temporaries
-SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,12 +109,18 @@ def densified(values: np.ndarray, counts: np.ndarray, bins: int = BINS) -> np.nd
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _G, (len(signature), bands)).copy()
-    parts = signature.reshape(len(signature), bands, rows)
+    parts = signature[:, : bands * rows].reshape(len(signature), bands, rows)
     for r in range(rows):
         keys = mix(keys * _M1 + parts[:, :, r])
     return keys.view(np.int64)
 
 
+def one_bit(signature: np.ndarray) -> np.ndarray:
+    """One bit of a hash of each bin's value and place, packed: (texts, WORDS64)."""
+    bits = (mix(signature + np.arange(1, signature.shape[1] + 1, dtype=np.uint64) * _G) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _batches(texts: pa.Array):
     at = 0
     while at < len(texts):
@@ -124,12 +133,12 @@ def _batches(texts: pa.Array):
 
 
 def sketcher(spark, words: int = 2):
-    """A column function text -> struct(n, ka, kb, bands): set size, a 128-bit key of the set, bucket keys (none for empty sets)."""
+    """A column function text -> struct(n, ka, kb, bands, bits): set size, a 128-bit key of the set, bucket keys (none for empty sets), one-bit hashes."""
     common.ship(spark)
 
     @F.arrow_udf(SKETCH)
     def sketched(texts: pa.Array) -> pa.Array:
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for held in _batches(texts):
             values, counts = shingle_sets(held, words)
             ends = np.cumsum(counts)
@@ -137,12 +146,15 @@ def sketcher(spark, words: int = 2):
             ka, kb = ((s[ends] - s[ends - counts]).view(np.int64) for s in sums)
             some = counts > 0
             bands = np.zeros((len(held), BANDS), np.int64)
-            bands[some] = band_keys(densified(values, counts[some]))
+            bits = np.zeros((len(held), WORDS64), np.int64)
+            signature = densified(values, counts[some])
+            bands[some], bits[some] = band_keys(signature), one_bit(signature)
             columns[0] += counts.tolist()
             columns[1] += ka.tolist()
             columns[2] += kb.tolist()
             columns[3] += [b if n else [] for b, n in zip(bands.tolist(), counts.tolist(), strict=True)]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns[4] += bits.tolist()
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], SKETCH.names)
 
     return sketched
@@ -210,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = rows.select("id", sketcher(spark, words)(F.col("text")).alias("s")).select("id", "s.*")
     sk = common.materialize(sketched, "sketches")
     named = sk.filter("id is not null and n > 0")
-    groups = common.materialize(named.groupBy("n", "ka", "kb").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "groups")
+    groups = common.materialize(named.groupBy("n", "ka", "kb").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "groups")
     links = _links(rows, groups, words, percent)
     ids = named.select("id", "n", "ka", "kb")
     repeated = ids.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id")  # one id, several texts
@@ -220,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where = groups.join(found, groups["rep"] == found["node"], "left").filter("copies > 1 or node is not null")
     where = where.select("n", "ka", "kb", F.coalesce("component", "rep").alias("component"))
     own = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    joined = sk.drop("bands").join(where, ["n", "ka", "kb"], "left").join(own, "id", "left")
+    joined = sk.drop("bands", "bits").join(where, ["n", "ka", "kb"], "left").join(own, "id", "left")
     component = F.coalesce(F.least("own", "component"), "id")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
@@ -228,29 +240,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(rows: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between representatives of equal sets, enough to connect whatever is linked."""
     spark = rows.sparkSession
-    each = groups.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    words64 = [f"w{k}" for k in range(WORDS64)]
+    each = groups.select(F.col("rep").alias("id"), "n", "ka", F.explode("bands").alias("key"))
+    own_bits = groups.select(F.col("rep").alias("id"), "ka", *[F.get("bits", F.lit(k)).alias(w) for k, w in enumerate(words64)])
     shared = each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    buckets = common.materialize(each.join(shared, "key", "left_semi").withColumns({"component": F.col("id"), "degree": F.lit(0).cast("long")}), "buckets")
+    members = each.join(shared, "key", "left_semi").join(own_bits, ["id", "ka"]).drop("ka")
+    buckets = common.materialize(members.withColumns({"component": F.col("id"), "size": F.lit(1).cast("long")}), "buckets")
     texts = rows.join(buckets.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     sets = common.materialize(texts.select("id", hashed_sets(spark, words)(F.col("text")).alias("set")).filter(F.size("set") > 0), "sets")
-    precedence = Window.partitionBy("key").orderBy(F.col("degree").desc(), F.xxhash64("id"), "id")
+    precedence = Window.partitionBy("key").orderBy(F.col("size").desc(), F.xxhash64("id"), "id")
     links, centres_a_turn = None, 1
     while True:
         # row_number() <= k is cut to k rows a key before the shuffle, so a large bucket costs no task more than that
         chosen = buckets.withColumn("turn", F.row_number().over(precedence)).filter(F.col("turn") <= centres_a_turn)
-        centres = common.materialize(chosen.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), "turn"), "centres")
-        met = buckets.join(centres, "key").filter("id <> a and component <> a_component")
+        centres = common.materialize(chosen.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), "turn", *[F.col(w).alias(f"a_{w}") for w in words64]), "centres")
+        differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words64[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))))
         alike = F.lit(100) * F.least("n", "a_n") >= F.lit(percent) * F.greatest("n", "a_n")
-        new = confirm(met.filter(alike).select("a", F.col("id").alias("b")).distinct(), sets, percent)
+        met = buckets.join(centres, "key").filter("id <> a and component <> a_component").filter(alike).filter(differ <= MOST_BITS)
+        new = confirm(met.select("a", F.col("id").alias("b")).distinct(), sets, percent)
         after = common.materialize(new if links is None else links.unionByName(new), "links")
         common.release(links)
         links = after
         # what is left: buckets whose members, without the centres so far, are in several components
         found = common.materialize(components(links), "components")
-        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        rest = buckets.select("key", "id", "n").join(centres.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        known = found.join(degree, found["node"] == degree["id"], "left").select(F.col("node").alias("id"), "component", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
-        marked = rest.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+        sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+        rest = buckets.select("key", "id", "n", *words64).join(centres.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        known = found.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
+        marked = rest.join(known, "id", "left").select("key", "id", "n", *words64, F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
         marked = common.materialize(marked, "marked")
         several = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         after = common.materialize(marked.join(several, "key", "left_semi"), "buckets")
@@ -259,4 +275,4 @@ def _links(rows: DataFrame, groups: DataFrame, words: int, percent: int) -> Data
         if buckets.isEmpty():
             common.release(sets, buckets)
             return links
-        centres_a_turn *= 16
+        centres_a_turn *= 2  # a centre of the largest component takes in a share of the rest, so what is left shrinks faster
