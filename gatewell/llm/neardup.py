@@ -7,9 +7,10 @@ probability of 6e-7.
 
 Equal sets are first collapsed to their smallest id, so copies cost one row each. In every bucket a star of candidate
 pairs joins one centre with the other members; the same order of precedence holds in all buckets, so a document meets
-few centres. Pairs whose one-bit hashes are too far apart for the wanted similarity go; links are confirmed on the full sets of shingle hashes. Buckets whose members do not all hang together then
-get further centres, one, then two, four and so on, from their largest components first, until every bucket's members are in one component or have all been
-compared: no bucket is cut off, and the pairs of a bucket of alike documents grow with its members, not their square.
+few centres. Pairs that a parity sketch of each set shows to differ too much go, none wrongly; links are confirmed on
+the full sets of shingle hashes. Buckets whose members do not all hang together then get further centres, sixteen
+times as many each turn, from their largest components first, until every bucket's members are in one component or have
+all been compared: no bucket is cut off, and pairs are made of what the sketches leave, not of a bucket's square.
 Components are found by alternating stars, in tables on the shared folder.
 """
 
@@ -25,10 +26,8 @@ from pyspark.sql.window import Window
 from gatewell.llm import common
 
 BANDS, ROWS = 36, 5
-BINS = 512  # of which the first BANDS * ROWS make bucket keys
-WORDS64 = BINS // 64
-#: At a similarity of 0.8, 51 of the 512 one-bit hashes of the bins differ (deviation 6.8); more than this, once in 4e6.
-MOST_BITS = 86
+BINS = BANDS * ROWS
+WORDS64 = 32  # of 64 bits in a parity sketch
 SUB_BYTES = 2_000_000  # of text hashed at once, which bounds the temporaries
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -109,16 +108,21 @@ def densified(values: np.ndarray, counts: np.ndarray, bins: int = BINS) -> np.nd
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _G, (len(signature), bands)).copy()
-    parts = signature[:, : bands * rows].reshape(len(signature), bands, rows)
+    parts = signature.reshape(len(signature), bands, rows)
     for r in range(rows):
         keys = mix(keys * _M1 + parts[:, :, r])
     return keys.view(np.int64)
 
 
-def one_bit(signature: np.ndarray) -> np.ndarray:
-    """One bit of a hash of each bin's value and place, packed: (texts, WORDS64)."""
-    bits = (mix(signature + np.arange(1, signature.shape[1] + 1, dtype=np.uint64) * _G) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
+def parity_bits(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Parity sketches (texts, WORDS64): every value of a set flips one bit.
+
+    Two sketches differ in at most as many bits as their sets have values that are not in both, never in more.
+    """
+    bits = 64 * WORDS64
+    owner = np.repeat(np.arange(len(counts)), counts)
+    flips = np.bincount(owner * bits + (values & np.uint64(bits - 1)).astype(np.int64), minlength=len(counts) * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(len(counts), bits), axis=1).view(np.int64)
 
 
 def _batches(texts: pa.Array):
@@ -133,7 +137,7 @@ def _batches(texts: pa.Array):
 
 
 def sketcher(spark, words: int = 2):
-    """A column function text -> struct(n, ka, kb, bands, bits): set size, a 128-bit key of the set, bucket keys (none for empty sets), one-bit hashes."""
+    """A column function text -> struct(n, ka, kb, bands, bits): set size, a 128-bit key of the set, bucket keys (none for empty sets), parity sketch."""
     common.ship(spark)
 
     @F.arrow_udf(SKETCH)
@@ -146,9 +150,8 @@ def sketcher(spark, words: int = 2):
             ka, kb = ((s[ends] - s[ends - counts]).view(np.int64) for s in sums)
             some = counts > 0
             bands = np.zeros((len(held), BANDS), np.int64)
-            bits = np.zeros((len(held), WORDS64), np.int64)
-            signature = densified(values, counts[some])
-            bands[some], bits[some] = band_keys(signature), one_bit(signature)
+            bands[some] = band_keys(densified(values, counts[some]))
+            bits = parity_bits(values, counts)
             columns[0] += counts.tolist()
             columns[1] += ka.tolist()
             columns[2] += kb.tolist()
@@ -256,7 +259,9 @@ def _links(rows: DataFrame, groups: DataFrame, words: int, percent: int) -> Data
         centres = common.materialize(chosen.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), "turn", *[F.col(w).alias(f"a_{w}") for w in words64]), "centres")
         differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words64[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))))
         alike = F.lit(100) * F.least("n", "a_n") >= F.lit(percent) * F.greatest("n", "a_n")
-        met = buckets.join(centres, "key").filter("id <> a and component <> a_component").filter(alike).filter(differ <= MOST_BITS)
+        # similar sets share all but (100 - percent) / (100 + percent) of their sizes' sum, which bounds the bits that differ
+        near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n") + F.col("a_n"))
+        met = buckets.join(centres, "key").filter("id <> a and component <> a_component").filter(alike).filter(near)
         new = confirm(met.select("a", F.col("id").alias("b")).distinct(), sets, percent)
         after = common.materialize(new if links is None else links.unionByName(new), "links")
         common.release(links)
@@ -275,4 +280,4 @@ def _links(rows: DataFrame, groups: DataFrame, words: int, percent: int) -> Data
         if buckets.isEmpty():
             common.release(sets, buckets)
             return links
-        centres_a_turn *= 2  # a centre of the largest component takes in a share of the rest, so what is left shrinks faster
+        centres_a_turn *= 16  # a centre of the largest component takes in a share of the rest, so what is left shrinks faster
