@@ -59,9 +59,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(keyed, ["__key"]).select("__key", F.filter("spans", lambda s: s["live"]).alias("spans"))
     live = found.filter(F.size("spans") > 0).dropDuplicates(["__key"])
     joined = keyed.join(live.hint("shuffle_hash"), "__key", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans")))
+    joined = joined.withColumn("__masked", masked)
+    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("__masked").cast("long"))
+    return joined.select("doc_id", F.col("__masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ TABLE = [
     (20, 0.90, 10, 1.00, 12, 1.00, OPEN, 0), (35, 0.80, 40, 0.00, 6, 1.00, OPEN, 0), (3, 0.00, 2, 0.00, 2, 1.00, OPEN, 0), (8, 0.60, 50, 0.00, 4, 1.00, OPEN, 0),
     (5, 0.00, 6, 0.00, 4, 0.00, OPEN, 0), (2, 0.00, 0, 0.00, 3, 0.00, OPEN, 0), (10, 0.70, 3, 0.00, 8, 0.80, OPEN, 0), (50, 0.95, 60, 0.90, 40, 0.90, OPEN, 0),
     (3, 1.00, 80, 0.00, 0, 0.00, OPEN, 0), (6, 0.00, 9, 0.50, 0, 0.00, OPEN, 0), (4, 0.50, 2, 1.00, 6, 0.00, OPEN, 0), (1, 0.00, 1, 1.00, 2, 1.00, OPEN, 0),
+    (1, 1.00, 1, 1.00, 80, 0.00, OPEN, 0), (2, 1.00, 2, 1.00, 60, 0.00, OPEN, 0), (3, 1.00, 0, 0.00, 90, 0.00, OPEN, 0), (1, 1.00, 70, 0.00, 1, 1.00, OPEN, 0),
 ]
 
 

@@ -143,7 +143,7 @@ def train(samples: list[tuple[str, str]], depth: int = 3, max_nodes: int = 10_00
                 for x, n in seen_here:
                     cost[k, x, lang] = -np.log2(n / (total + distinct))
     cost[:, classes[END]] = 0
-    return Model(langs, classes, child.ravel(), cost.reshape(-1, len(langs)), depth)
+    return Model(langs, classes, child.ravel(), cost.reshape(dead * width, len(langs)), depth)
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:

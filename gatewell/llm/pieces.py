@@ -185,7 +185,7 @@ class Codec:
             first = np.cumsum(counts) - counts
             self.check([joined[h : h + n] for h, n in zip(heads[fresh].tolist(), sizes[fresh].tolist(), strict=True)], flat.tolist(), first.tolist(), counts.tolist())
         if len(self.known) + len(fresh) > REMEMBERED:  # forget all but what this batch uses
-            old = np.setdiff1d(at, at[fresh]) if len(fresh) < len(forms) else at[:0]
+            old = np.unique(np.delete(at, fresh))
             self.flat = self.flat[np.repeat(self.first[old], self.counts[old]) + _ramp(self.counts[old])]
             self.known, self.counts = self.known[old], self.counts[old]
             self.first = np.cumsum(self.counts) - self.counts
