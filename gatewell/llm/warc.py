@@ -28,6 +28,7 @@ from gatewell.llm import common
 FILE_BYTES = 1 << 30  # a file is closed beyond
 READ_BYTES = 8 << 20  # the longest coalesced read, unless a record is longer
 GAP_BYTES = 64 << 10  # unselected bytes that are read along rather than skipped
+TASK_BYTES = 32 << 20
 BATCH_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("url", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("page_id", T.StringType())])
@@ -137,7 +138,9 @@ def read(selected: DataFrame, payload: bool = True) -> DataFrame:
     """The records of the selected index rows, as RECORD (payload null unless asked for)."""
     common.ship(selected.sparkSession)
     where = selected.select("file", "offset", "length")
-    dealt = where.repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    # tasks by the bytes to be read: the index rows alone would look small enough for one
+    tasks = 1 + (where.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
+    dealt = where.repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
 
     def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
