@@ -102,3 +102,22 @@ def test_guard_orders_issues(spark):
     found = spark.range(1).select(draft.issues(F.lit(text), F.lit(None).cast("string"), F.lit("email"), F.lit("Hi Ada,"), F.lit("purpose"), F.lit("ask"), F.lit("a: b"), F.lit("bye"), F.array(F.lit("Hi Ada,")), ["wrong"])).first()[0]
     assert found == ["salutation_mismatch", "campaign_purpose_mismatch", "missing_subject", "sender_signoff_mismatch", "html_not_allowed", "ask_copy_mismatch", "call_to_action_mismatch", "campaign_prohibited_phrase"]
     assert policy.Policy(as_of="2026-01-01").multiplier == 125
+
+
+def test_types_and_text_are_strict(spark, tmp_path):
+    address = {"line_1": "1 Road", "line_2": None, "city": "York", "region": "N", "postal_code": "Y1", "country_code": "GB"}
+    cases = [
+        (with_(donor_id=12345), [("donor_id", "string_type")]),
+        (with_(last_name=" Long"), [("last_name", "string_invalid")]),
+        (with_(title="D\u200br"), [("title", "string_invalid")]),
+        (with_(do_not_contact="false"), [("do_not_contact", "bool_type")]),
+        (with_(postal_address=address), []),
+        (with_(postal_address=address | {"city": "", "country_code": "gb"}), [("postal_address.city", "string_invalid"), ("postal_address.country_code", "string_pattern_mismatch")]),
+        (with_(facts=[FACT | {"category": "other"}]), [("facts.category", "enum")]),
+        (with_(facts=[FACT | {"text": 5}]), [("text", "string_type")]),
+        (with_(facts=[FACT]), []),
+    ]
+    found = judge(spark, tmp_path, [c[0] for c in cases])
+    assert [[(i["field"], i["code"]) for i in found[k + 1]["validation_issues"]] for k in range(len(cases))] == [c[1] for c in cases]
+    assert found[9]["fact_ids_used"] == ["campaign.beds", "donor.a"] and found[9]["audit"].provider_called and found[9]["audit"].provider_name == "template-v1"
+    assert found[1]["audit"].provider_name is None and found[1]["campaign_id"] == "C-1"
