@@ -128,7 +128,13 @@ def _sql_screen(name: str, column: str = "text") -> str:
     return f"coalesce(regexp_matches({column}, '(?i){lexicons.union(lexicons.SCREENS[name]).replace(chr(39), chr(39) * 2)}'), false)"
 
 
-_CONTACT = " or ".join(_sql_screen(n) for n in ("email", "uri", "ip", "phone"))
+def _sql_refanged(column: str = "text") -> str:
+    for pattern, sign in lexicons.DEFANGED.items():
+        column = f"regexp_replace({column}, '(?i){pattern}', '{sign}', 'g')"
+    return column
+
+
+_CONTACT = " or ".join(_sql_screen(n, c) for c in ("text", _sql_refanged()) for n in ("email", "uri", "ip", "phone"))
 _FACTS = f"""select doc_id, source, fact_id, case when doc_id <> first_id then 'duplicate_id' when not coalesce(quality = 1, false) then 'not_approved' when {_CONTACT} then 'contact_like' when {_sql_screen("instruction")} then 'instruction_like'
  when {_sql_screen("policy_control")} then 'policy_control_like' when {_sql_screen("solicitation")} then 'solicitation_like' when {_sql_screen("money")} then 'monetary' when {_sql_screen("giving_field")} then 'giving_history' else 'eligible' end as flag
  from (select d.doc_id, source, text, quality, 'donor.doc-' || (d.doc_id % 500) as fact_id, min(d.doc_id) over (partition by source, d.doc_id % 500) as first_id from documents d left join labels using (doc_id))"""
@@ -158,6 +164,11 @@ for _name in lexicons.SCREENS:
         _detector(_name)
 
 
+@query(f"select doc_id, {_CONTACT} as hit from documents")
+def detect_contact(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", lexicons.contact(F.col("text")).alias("hit"))
+
+
 @query("select page_id, " + _sql_screen("html", "html") + " as hit from pages")
 def detect_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", lexicons.screen(F.col("html"), "html").alias("hit"))

@@ -97,6 +97,40 @@ def test_views_and_digests(spark):
     assert len(a) == len(b) == 64
 
 
+def test_defanged_contacts(spark):
+    hidden = ["ada [at] example (dot) org", "hxxps://example.org/a", "HXXP{colon}//example[.]org", "10[.]0[.]0[.]1", "ada@example.org"]
+    ordinary = ["We met (at noon) by the lake.", "a [dot] on the map", "see (a) and (b)", "", None]
+    rows = spark.createDataFrame([(t,) for t in hidden + ordinary], "t string").select(lexicons.contact(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [True] * len(hidden) + [False] * len(ordinary)
+
+
+# Records whose digests are known.
+KNOWN_CAMPAIGN = {
+    "campaign_id": "SYN-CAMPAIGN-2026", "organization_name": "Harbor Paws Animal Rescue", "campaign_name": "Emergency Foster Network", "purpose": "This campaign will expand temporary foster capacity for animals displaced by severe weather.", "tone": "warm-professional",
+    "sender": {"name": "Jordan Lee", "role": "Director of Development"}, "call_to_action": {"label": "Donate securely", "url": "https://donate.example.org/foster-network"}, "as_of_date": "2026-08-01", "minimum_days_between_contacts": 30,
+    "ask_policy": {"strategy": "last_gift_multiplier", "currency": "USD", "multiplier": "1.25", "rounding_increment": "5.00", "minimum": "25.00", "maximum": "5000.00"}, "review_policy": {"segments": ["major", "principal"], "ask_amount_at_or_above": "1000.00"},
+    "facts": [{"fact_id": "campaign.foster-purpose", "text": "The foster network gives displaced animals a temporary place to stay.", "source": "campaign", "category": "program", "approved_for_outreach": True}], "prohibited_phrases": ["every hour counts", "guaranteed match"],
+}
+KNOWN_DONOR = {
+    "donor_id": "SYN-002", "first_name": "Luis", "last_name": "Rivera", "title": None, "preferred_channel": "email", "channel_consent": "unknown", "do_not_contact": False, "email": "luis.rivera@example.org", "postal_address": None, "segment": "general",
+    "giving": {"currency": "USD", "last_gift_amount": "75.00", "largest_gift_amount": "75.00", "lifetime_value": "150.00", "last_gift_date": "2025-12-01"}, "last_contact_date": None, "facts": [],
+}
+KNOWN_DIGEST = "cadfed287cbe0413bcb875e73b2cd490d9df3d973dd230d3c000934b5bc6d6af"
+
+
+def test_record_digests(spark, tmp_path):
+    address = {"line_1": "1 Road", "city": "York", "region": "N", "postal_code": "Y1", "country_code": "GB"}
+    backwards = json.dumps(dict(reversed(KNOWN_DONOR.items())), indent=None, separators=(" , ", " : "))
+    numbers = '{"a":1,"b":1.0,"c":1.00,"d":-0,"e":[],"f":{},"g":1e3,"é":"\\u00e9"}'
+    lines = [json.dumps(KNOWN_DONOR), backwards, "nope", "nope", with_(postal_address=address), with_(postal_address=address | {"line_2": None}), with_(postal_address=address, extra=1), with_(postal_address=address | {"line_2": None}, extra=1), numbers, numbers.replace("1.00", "1.0"), numbers.replace("é", "\\u00e9")]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines) + "\n")
+    rows = engine.run(jsonl.scan(spark, f"file://{tmp_path}/in.jsonl"), KNOWN_CAMPAIGN).orderBy("record_index").collect()
+    got = [r["audit"].input_fingerprint for r in rows]
+    assert got[0] == got[1] == KNOWN_DIGEST and rows[0]["status"] == "blocked"
+    assert got[2] != got[3] and got[4] == got[5] and got[6] != got[7] and got[8] != got[9] and got[8] == got[10]
+    assert all(len(d) == 64 for d in got) and len(set(got)) == 8
+
+
 def test_guard_orders_issues(spark):
     text = "Hello,\n\nWrong.\n\n<b>x</b>"
     found = spark.range(1).select(draft.issues(F.lit(text), F.lit(None).cast("string"), F.lit("email"), F.lit("Hi Ada,"), F.lit("purpose"), F.lit("ask"), F.lit("a: b"), F.lit("bye"), F.array(F.lit("Hi Ada,")), ["wrong"])).first()[0]
