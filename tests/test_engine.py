@@ -5,7 +5,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gatewell.functions import fingerprint, lexicons, money, views
-from gatewell.operators import draft, policy
+from gatewell.operators import draft, giving, policy
 from gatewell.plans import engine
 from gatewell.sources import jsonl
 
@@ -155,3 +155,36 @@ def test_types_and_text_are_strict(spark, tmp_path):
     assert [[(i["field"], i["code"]) for i in found[k + 1]["validation_issues"]] for k in range(len(cases))] == [c[1] for c in cases]
     assert found[9]["fact_ids_used"] == ["campaign.beds", "donor.a"] and found[9]["audit"].provider_called and found[9]["audit"].provider_name == "template-v1"
     assert found[1]["audit"].provider_name is None and found[1]["campaign_id"] == "C-1"
+
+
+def test_guard_checks_grounding(spark):
+    lit = lambda *xs: F.array(*[F.lit(x).cast("string") for x in xs])
+    anchors = ["Hi Ada,", "purpose", "Fact one.", "ask", "Give: https://a.example/x", "With gratitude,\nKim\nLead"]
+
+    def check(paragraphs, used=("Fact one.", None), offered=("Fact one.", "Beds help.", None), amount=None):
+        fixed = [F.lit(x) for x in ("Hi Ada,", "purpose", "ask", "Give: https://a.example/x", anchors[-1])]
+        column = draft.issues(F.lit("\n\n".join(paragraphs)), F.lit("S"), F.lit("email"), *fixed, lit(*anchors), [], sender=(F.lit("Kim"), F.lit("Lead")), url=F.lit("https://a.example/x"), used=lit(*used), offered=lit(*offered), amount=F.lit(amount).cast("string"))
+        return spark.range(1).select(column).first()[0]
+
+    assert check(anchors) == []
+    assert check([*anchors[:2], *anchors[3:]]) == ["unused_fact_reference"]
+    assert check([*anchors[:3], *anchors[2:]]) == ["unused_fact_reference"]
+    assert check([*anchors[:5], "Yes, BEDS help. Surely", anchors[5]]) == ["undeclared_fact_usage"]
+    assert check([*anchors[:5], "See https://b.example/y.", anchors[5]]) == ["unapproved_url", "unapproved_contact_detail"]
+    assert check([*anchors[:4], anchors[5]]) == ["missing_call_to_action_url", "call_to_action_mismatch"]
+    assert check([*anchors[:5], "Bye"]) == ["missing_sender", "sender_signoff_mismatch"]
+    assert check(anchors, amount="USD 5") == ["ask_amount_mismatch"]
+    ids = [spark.range(1).select(draft.grounding_issues(F.lit("x"), lit(*a), lit("f1", "f2"))).first()[0] for a in (("f1", "f2"), ("f1", "f1"), ("f3",))]
+    assert ids == [[], ["duplicate_fact_reference"], ["unapproved_fact_reference"]]
+
+
+def test_gift_histories(spark):
+    rows = [
+        ("2010: $25,000, 2013: $30,000", "Gold", 30_000, 55_000, 2013), ("2010: $0", "Bronze", 0, 0, 2010), ("2010: $5", "Other", 5, 6, 2010), ("2013: $5, 2010: $6", "Gold", 6, 11, 2010), ("2010: $5, 2010: $6", "Gold", 6, 11, 2010),
+        ("2010: $1000", "Gold", 1_000, 1_000, 2010), ("2010: $05", "Gold", 5, 5, 2010), ("2010: $5,", "Gold", 5, 5, 2010), ("", None, None, None, None), (None, "Lapsed", 1, 1, 2000),
+    ]
+    df = giving.summarized(spark.createDataFrame(rows, "gifts string, tier string, largest_gift long, lifetime_total long, last_gift_year int"))
+    got = [(r["gift_list"] is not None, r["consistent"], r["segment"]) for r in df.collect()]
+    assert got == [(True, True, "major"), (True, True, "general"), (True, False, None), *[(False, False, "major")] * 5, (False, False, None), (False, False, "lapsed")]
+    first = df.first()
+    assert [tuple(g) for g in first["gift_list"]] == [(2010, 25_000), (2013, 30_000)] and (first["gift_largest"], first["gift_lifetime"], first["gift_last_amount"], first["gift_last_year"]) == (30_000, 55_000, 30_000, 2013)
