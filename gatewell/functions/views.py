@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatewell.functions import shipping
+
 _APOSTROPHES = str.maketrans(dict.fromkeys("’‘ʼ＇", "'"))
 
 
@@ -30,6 +32,7 @@ def _views(texts: pa.Array) -> pa.Array:
 
 def with_views(df: DataFrame, text_col: str, out: str = "views") -> DataFrame:
     """df with the array of views of a text column; null texts have none."""
+    shipping.send(df.sparkSession)
     ascii_only = F.coalesce(~F.col(text_col).rlike("[^\\x00-\\x7F]"), F.lit(True))
     own = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(text_col)))
     return df.filter(ascii_only).withColumn(out, own).unionByName(df.filter(~ascii_only).withColumn(out, _views(F.col(text_col))))
