@@ -4,6 +4,10 @@ Each text is scanned for three base kinds (assign, access, hex) and for bare can
 candidate value is counted over the corpus by distinct repositories and owners: a value under many owners is a widely
 copied example, one under few owners looks live. A bare token is reported too where its value is a credential that
 some text assigns. Positions are code points, ends exclusive.
+
+Bare candidates are all runs of the characters that an assigned value may have, what stands in a run after a '=' or
+'/', and what stands between two of them, of LEAST characters or more: the join with assigned values decides, not the
+pattern. A '=' before a value and the dots of a sentence after it are no part of it.
 """
 
 from __future__ import annotations
@@ -22,13 +26,22 @@ NAMES = "|".join([_either_case("password"), _either_case("passwd"), _either_case
 ASSIGN = f"({NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-BARE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+BARE = "[A-Za-z0-9+/_.=-]{12,}"
+LEAST = 12  # characters of an assigned value
 KINDS = ("assign", "access", "hex", "bare")
 EXAMPLE_OWNERS = 3  # a value under so many owners is a copied example
 MARK = "[REDACTED]"
 SPAN = "struct<start:bigint,rank:int,end:bigint,value:string>"
 
 
+def _credential(value: Column) -> Column:
+    return F.regexp_replace(value, "^=+|\\.+$", "")
+
+
+def _hash(value: Column) -> Column:
+    return F.sha2(value.cast("binary"), 256)
+
+
 def _spans(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
     """array<span> of the non-overlapping matches from the left, with the hash of the value.
 
@@ -42,21 +55,44 @@ def _spans(text: Column, pattern: str, kind: str, value_group: int = 0, least: i
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     rows = F.arrays_zip(ends.alias("e"), found.alias("m"), values.alias("v"))
     kept = F.filter(rows, lambda r: F.length(r["v"]) >= least) if least else rows
-    return F.transform(kept, lambda r: F.struct((r["e"] - F.length(r["m"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), r["e"].alias("end"), F.sha2(r["v"].cast("binary"), 256).alias("value")))
+    return F.transform(kept, lambda r: F.struct((r["e"] - F.length(r["m"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), r["e"].alias("end"), _hash(_credential(r["v"])).alias("value")))
+
+
+def _bare(text: Column) -> Column:
+    """array<span> of the bare candidates: of each run the whole, and from and to its '=' and '/'."""
+    found, between = F.regexp_extract_all(text, F.lit(BARE), F.lit(0)), F.split(text, BARE, -1)
+    runs = F.zip_with(F.slice(between, F.lit(1), F.size(between) - 1), found, lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), m.alias("m")))
+    none = F.array().cast("array<struct<at:bigint,m:string>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("runs"))
+    placed = F.aggregate(runs, start, lambda s, r: F.struct((s["at"] + r["gap"] + F.length(r["m"])).alias("at"), F.concat(s["runs"], F.array(F.struct((s["at"] + r["gap"]).alias("at"), r["m"].alias("m")))).alias("runs")), lambda s: s["runs"])
+
+    def span(at: Column, value: Column) -> Column:
+        return common.let(F.regexp_replace(value, "\\.+$", ""), lambda v: F.struct(at.alias("start"), F.lit(KINDS.index("bare")).alias("rank"), (at + F.length(v)).alias("end"), _hash(v).alias("value")))
+
+    def parts(run: Column) -> Column:
+        whole = F.array(span(run["at"], run["m"]))
+        edges = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,n:bigint>>").alias("parts"))
+        pieces = F.aggregate(F.split(run["m"], "[/=]", -1), edges, lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.concat(s["parts"], F.array(F.struct(s["at"].alias("a"), F.length(p).cast("long").alias("n")))).alias("parts")), lambda s: s["parts"])
+        long = F.length(run["m"]).cast("long")
+        both = F.flatten(F.transform(pieces, lambda p: F.array(p, F.struct(p["a"].alias("a"), (long - p["a"]).alias("n")))))
+        cut = F.transform(F.array_distinct(F.filter(both, lambda p: p["n"] >= LEAST)), lambda p: span(run["at"] + p["a"], F.substring(run["m"], (p["a"] + 1).cast("int"), p["n"].cast("int"))))
+        return F.when(run["m"].rlike("[/=]"), cut).otherwise(whole)
+
+    return F.filter(F.flatten(F.transform(placed, parts)), lambda x: x["end"] - x["start"] >= LEAST)
 
 
 def candidates(text: Column) -> Column:
-    """All base spans and those bare tokens that no base span overlaps, by start and kind."""
+    """All base spans and those bare candidates that no base span covers, by start and kind."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def of(pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
         return F.when(text.rlike(pattern), _spans(text, pattern, kind, group, least).cast(f"array<{SPAN}>")).otherwise(none)
 
-    base = F.concat(of(ASSIGN, "assign", 2, 12), of(ACCESS, "access"), of(HEX, "hex"))
-    bare = of(BARE, "bare")
-    free = common.let(base, lambda b: F.concat(b, F.filter(bare, lambda x: ~F.exists(b, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))))
-    # a text where even the loosest form of every kind is absent has no span; one scan settles most texts
-    loose = text.rlike(f"({NAMES})[\"']?\\x20*[:=]|AKIA|[0-9a-f]{{16}}|[A-Za-z0-9+/_=-]{{20}}")
+    base = F.concat(of(ASSIGN, "assign", 2, LEAST), of(ACCESS, "access"), of(HEX, "hex"))
+    bare = _bare(text).cast(f"array<{SPAN}>")
+    free = common.let(base, lambda b: F.concat(b, F.filter(bare, lambda x: ~F.exists(b, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))))
+    # every kind needs a run of so many characters, so a text without one has no span
+    loose = text.rlike(BARE)
     return F.when(loose, F.sort_array(free)).otherwise(none)
 
 
@@ -71,9 +107,9 @@ def scan(docs: DataFrame, keys: list[str], text_col: str = "text", repo_col: str
     rows = docs.select(*[F.col(c).alias(f"key_{k}") for k, c in enumerate(keys)], F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), candidates(text).alias("spans"))
     held = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = held.filter(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s"))
-    use = each.groupBy(F.col("s.value").alias("value"), F.col("owner"), F.col("repo")).agg(F.max((F.col("s.rank") < 2).cast("int")).alias("named"))
-    by_owner = use.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.max("named").alias("named"))
-    seen = by_owner.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("named").alias("named"))
+    use = each.groupBy(F.col("s.value").alias("value"), F.col("owner"), F.col("repo")).agg(F.max((F.col("s.rank") < 2).cast("int")).alias("named"), F.max((F.col("s.rank") < 3).cast("int")).alias("base"))
+    by_owner = use.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.max("named").alias("named"), F.max("base").alias("base"))
+    seen = by_owner.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("named").alias("named"), F.max("base").alias("base")).filter("base = 1").drop("base")
     live = (F.col("n_owners") < example_owners).alias("live")
     judged = each.join(seen, each["s.value"] == seen["value"]).filter((F.col("s.rank") < 3) | (F.col("named") == 1))
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.value", "n_repos", "n_owners", live))).alias("judged"))
