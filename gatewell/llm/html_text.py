@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks of text at block-level tags. A block is described by its words and link density, by
 those of its two neighbours, and by where it stands: in an article or main element, in an element that by its tag, role,
-class or id is page furniture, or in neither. A decision tree trained on TABLE, a small labelled table, tells main
+class or id is page furniture, or in neither. A class, an id or a form is no furniture where the page itself stands in it. A decision tree trained on TABLE, a small labelled table, tells main
 text from the rest. Scripts, styles, the head and other elements without page text never become blocks.
 """
 
@@ -93,46 +93,95 @@ def is_main(node: Node, features: tuple[float, ...]) -> bool:
 # elements whose content is no page text
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "select", "textarea", "datalist"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}  # up to the end tag, whatever is inside
-FURNISHING = {"nav", "header", "footer", "aside", "form", "button", "fieldset", "dialog", "menu", "label", "input"}
+FURNISHING = {"nav", "header", "footer", "aside", "button", "dialog", "menu", "label", "input"}
+WRAPPING = {"form", "fieldset"}  # furniture, unless the page stands in it
 MAINLY = {"article", "main"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "label"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: words in role, class and id that mark furniture
 SIGNS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall|sidebar|side|aside|rail|widgets?|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|header|masthead|topbar|footer|copyright|legal|comments?|replies|reply|respond|disqus|discussion|reactions?|share|sharing|social|related|recommended|trending|search|form|complementary|contentinfo|tags|toc|byline-ads|skip)(?=$|[\s_-])", re.I)
+#: signs of text about a page, or of other pages: an article in it is not the page's
+ASIDE = re.compile(r"comment|repl(?:y|ies)|respond|disqus|discussion|reaction|related|recommended|trending|\bads?\b|advert|sponsor|promo", re.I)
+#: what a page has or lacks says nothing of the element itself
+MODIFIER = re.compile(r"(?<!\S)(?:has|have|no|with|without)[_-]\S+", re.I)
+HTML_BLOCKS = {"address", "article", "aside", "blockquote", "center", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+BREAKOUT = {"svg": None, "math": None, "select": {"option", "optgroup", "div", "span", "hr"}}  # closed by a block but these
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^"'>]|"[^"]*"|'[^']*')*)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
 
-def _place_of(name: str, attrs: str) -> int:
-    if name in FURNISHING:
-        return FURNITURE
-    place = MAIN if name in MAINLY else OPEN
-    if attrs and name not in ("html", "body"):
-        for key, value in ATTR.findall(attrs):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return FURNITURE
-            if key == "role" and value.lower() in ("main", "article"):
-                place = MAIN
-            elif key in ("class", "id", "role") and name not in MAINLY and SIGNS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-                return FURNITURE
-    return place
+class Element:
+    """An open block element. Soft ones are furniture by class, id or as a form, unless the page stands in them."""
+
+    __slots__ = ("name", "own", "soft", "aside", "parent", "words", "main", "article", "title", "place")
+
+    def __init__(self, name: str, attrs: str, parent: Element | None):
+        self.name, self.parent, self.own, self.soft, self.aside = name, parent, OPEN, False, False
+        self.words, self.main, self.article, self.title, self.place = 0, name == "main", name == "article", name == "h1", OPEN
+        if name in FURNISHING:
+            self.own = FURNITURE
+            return
+        has: dict[str, str] = {}
+        for key, value in ATTR.findall(attrs) if attrs and name not in ("html", "body") else ():
+            has.setdefault(key.lower(), value.strip("\"'"))
+        role = has.get("role", "").lower()
+        self.main, self.article = self.main or role == "main", self.article or role == "article"
+        hidden = "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I)
+        if hidden or SIGNS.search(role):
+            self.own = FURNITURE
+        elif self.main or self.article:
+            self.own = MAIN
+        else:
+            signs = [MODIFIER.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", has.get(k, ""))) for k in ("class", "id")]
+            self.soft = name in WRAPPING or any(map(SIGNS.search, signs))
+            self.aside = any(map(ASIDE.search, signs))
+
+    def holds_page(self, words: int) -> bool:
+        """Whether the page itself stands in it: its main element, or most words with its title or article."""
+        return self.main or 2 * self.words > words and (self.title or self.article and not self.aside)
+
+
+def _settle(elements: list[Element], loose: int) -> None:
+    """Find the place of each element, given in order of their start tags; loose: words outside all elements."""
+    for e in reversed(elements):
+        if e.own != FURNITURE:
+            if e.parent is None:
+                loose += e.words
+            else:
+                e.parent.words += e.words
+                e.parent.main, e.parent.article, e.parent.title = e.parent.main or e.main, e.parent.article or e.article, e.parent.title or e.title
+    for e in elements:
+        own = FURNITURE if e.soft and not e.holds_page(loose) else e.own
+        around = e.parent.place if e.parent else OPEN
+        e.place = FURNITURE if FURNITURE in (own, around) else max(own, around)
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """Flat blocks in page order: text with white space collapsed, link density, place."""
-    out: list[tuple[str, float, int]] = []
+    out: list[tuple[str, float, Element | None]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open block elements and where their text stands
-    place, links, silent, at = OPEN, 0, 0, 0
+    stack: list[Element] = []  # open block elements
+    elements: list[Element] = []
+    silent: list[tuple[str, int]] = []  # open silent elements and how many block elements were open before each
+    place: Element | None = None
+    links, loose, at = 0, 0, 0
+
+    def heard() -> None:
+        while silent and silent[-1][1] > len(stack):
+            silent.pop()  # a silent element ends with its parent
 
     def close() -> None:
+        nonlocal loose
         if text:
             words = " ".join("".join(text).split())
             if words:
                 letters = len("".join(words.split()))
                 out.append((words, min(1.0, len("".join("".join(linked).split())) / letters), place))
+                if place is None:
+                    loose += words.count(" ") + 1
+                else:
+                    place.words += words.count(" ") + 1
             text.clear()
             linked.clear()
 
@@ -163,43 +212,56 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             links = 0 if ending else 1
             continue
         if name in SILENT and name != "head":
-            if not attrs.endswith("/"):
-                silent = max(0, silent + (-1 if ending else 1))
+            if ending:
+                for k in range(len(silent) - 1, -1, -1):
+                    if silent[k][0] == name:
+                        del silent[k:]
+                        break
+            elif not attrs.endswith("/"):
+                silent.append((name, len(stack)))
+            continue
+        if name in ("foreignobject", "desc") and silent:
+            silent[:] = silent[: max((k for k, x in enumerate(silent) if x[0] == name), default=len(silent))] if ending else [*silent, (name, len(stack))]
             continue
         if name in INLINE:
             continue
         close()
         if name == "body" and not ending:
-            silent = 0
+            silent.clear()
         if name == "head":
-            silent = 0 if ending else 1
+            silent[:] = [] if ending else [("head", 0)]
             continue
         if name in VOID:
             continue
         if ending:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
+                    heard()
                     break
-                if name not in MAINLY and stack[k][0] in MAINLY:
+                if name not in MAINLY and stack[k].name in MAINLY:
                     break  # a stray end tag does not close the article
         else:
+            if silent and silent[-1][0] in BREAKOUT and name in HTML_BLOCKS and name not in (BREAKOUT[silent[-1][0]] or ()):
+                silent.pop()
+            low = silent[-1][1] if silent else 0  # nothing in a silent element closes what stands around it
             if name == "p" or name not in ("span", "label"):
-                while stack and stack[-1][0] == "p":
+                while len(stack) > low and stack[-1].name == "p":
                     stack.pop()  # a block closes an open paragraph
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(name, (name,))
-                while stack and stack[-1][0] in same:
+                while len(stack) > low and stack[-1].name in same:
                     stack.pop()
             if not attrs.endswith("/"):
-                own, around = _place_of(name, attrs), stack[-1][1] if stack else OPEN
-                stack.append((name, FURNITURE if FURNITURE in (own, around) else max(own, around)))
-        place = stack[-1][1] if stack else OPEN
+                stack.append(Element(name, attrs, stack[-1] if stack else None))
+                elements.append(stack[-1])
+        place = stack[-1] if stack else None
         if not ending:
             links = 0
     say(page[at:])
     close()
-    return out
+    _settle(elements, loose)
+    return [(words, density, e.place if e else OPEN) for words, density, e in out]
 
 
 def extract(page: str | None, tree: Node) -> str:

@@ -255,6 +255,23 @@ def test_html(spark):
     assert html_text.extract(plain, html_text.train()) == ("word " * 60 + "more " * 40).strip()
 
 
+def test_html_wrappers_attributes_and_silence():
+    tree, text = html_text.train(), "word " * 30
+    article = f"<article><h2>Head</h2><p>{text}</p></article>"
+    get = lambda body: html_text.extract(f"<html><body>{body}</body></html>", tree)
+    want = ("Head " + text).strip()
+    for start in ("<div class='has-sidebar'>", "<div class='no-sidebar'>", "<div class='with-nav'>", "<div class='sticky-header'>", "<form>", "<div id=sidebar role=main>"):
+        end = "</form>" if start == "<form>" else "</div>"
+        assert get(f"{start}<nav>Menu</nav>{article}{end}<footer>x</footer>") == want, start
+    assert get(f"<form><main><p>{text}</p></main><div class=comments>{text * 9}</div></form>") == text.strip()
+    assert get(f"<form><h1>Head</h1><p>{text}</p></form>") == get(f"<div><h1>Head</h1><p>{text}</p></div>") != ""
+    assert get(f"<div class=related>{article}</div>") == get(f"<div hidden>{article}</div>") == ""
+    assert get(f"<article><p title='a hidden gem'>{text}</p><p hidden>no no</p></article>") == text.strip()
+    for silent in ("svg", "select", "object", "video"):
+        assert get(f"<article><div><{silent}><i>no</i></div><p>{text}</p></article>") == text.strip(), silent
+    assert get(f"<article><p>{text}</p><div><object><p>no</p></object></div></article>") == text.strip()
+
+
 def test_token_counts(spark):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encode = token_counts.encoding(path, pattern).encode_ordinary
