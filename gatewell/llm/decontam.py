@@ -49,6 +49,7 @@ class Phrases:
     vocabulary: dict[bytes, int]
     phrases: list[tuple[int, ...]]
     items: list[list[str]]
+    more: bool = False  # whether another block follows
 
     @property
     def longest(self) -> int:
@@ -64,6 +65,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     for row in rows.toLocalIterator():
         item_words = words(row["text"])
         if used and used + len(item_words) > block_words:
+            block.more = True
             yield block
             block, index, used = Phrases({}, [], []), {}, 0
         used += len(item_words)
@@ -216,16 +218,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_c
     Null texts have no words; documents repeated in the table are reported as often; an empty benchmark hits nothing.
     keys name the columns to carry, whatever their types. Words hit by several windows count once.
     """
-    parts = []
+    parts, carried = [], keys
     for block in blocks(benchmark, item_col, item_text_col):
-        index = common.materialize(build(docs, block, keys, text_col), "postings")
+        if block.more and not parts:  # several passes: each row gets a number of its own, written once so that all passes see the same
+            carried = [*keys, "__row"]
+            docs = common.materialize(docs.select(*dict.fromkeys([*keys, text_col])).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        index = common.materialize(build(docs, block, carried, text_col), "postings")
         rarity = frequencies(index)
-        parts.append(search(index, block, rarity, keys, slop))
+        parts.append(search(index, block, rarity, carried, slop))
     found = parts[0]
-    if len(parts) > 1:  # several passes over the documents: a document's spans and items are united
+    if len(parts) > 1:  # a row's spans and items are united
         for more in parts[1:]:
             found = found.unionByName(more)
-        found = found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        same = [F.first(c).alias(c) for c in [*keys, "n_words"]]
+        found = found.groupBy("__row").agg(*same, F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("__row")
         inside = F.transform("hits", lambda s: F.sequence(s["start"], s["end"] - 1))
         n_hit = F.size(F.array_distinct(F.flatten(inside))).cast("long")
     else:

@@ -116,6 +116,16 @@ def test_decontam(spark):
     assert decontam.intersect([(0, np.array([5, 50])), (2, np.array([8, 60]))], slop=1).tolist() == [5]
 
 
+def test_decontam_repeated_and_null_ids(spark, monkeypatch):
+    first, second = " ".join(f"a{k}" for k in range(15)), " ".join(f"b{k}" for k in range(15))
+    bench = spark.createDataFrame([(1, first), (2, second), (3, first + " tail")], "item_id bigint, text string")
+    docs = table(spark, [first, second, "clean text", first, second + " x", "clean", first, first], [7, 7, 7, None, None, None, 8, 8])
+    rows = lambda: sorted(map(str, decontam.contamination(docs, bench, ["doc_id"]).collect()))
+    whole = rows()
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (*decontam.blocks.__defaults__[:-1], 20))
+    assert rows() == whole and len(whole) == 8
+
+
 def test_fingerprint(spark):
     texts = [*ODD, say(EN, 900), say(EN, 4), *[say([f"v{k}" for k in range(200)], 100) for _ in range(30)]]
     docs = table(spark, texts)
