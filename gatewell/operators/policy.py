@@ -69,7 +69,7 @@ def decide(donors: DataFrame, policy: Policy, fact_flags: dict[str, Column] | No
         *([(fact_flags["duplicate_id"], "duplicate_fact_id_across_inputs")] if fact_flags and "duplicate_id" in fact_flags else []),
         (hit("instruction"), "instruction_like_identity_field"),
         (hit("policy_control"), "policy_control_like_identity_field"),
-        (hit("giving_field"), "giving_history_like_identity_field"),
+        (hit("giving_field") | hit("giving_context"), "giving_history_like_identity_field"),
         (hit("solicitation") | hit("money"), "solicitation_like_identity_field"),
         (_any_view(lexicons.contact), "contact_like_identity_field"),
         (_any_view(lambda v: F.contains(v, F.col("donor_id"))), "donor_identifier_in_identity_field"),
