@@ -212,6 +212,12 @@ def guard_issues(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(policy.collect(*[(lexicons.screen(F.col("text"), n), n) for n in names]), ",").alias("issues"))
 
 
+@query()
+def guard_text_issues(spark, sf_dir):
+    """All text rules of the output guard; guard_issues has the six plain screens that its SQL names."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(draft.text_issues(F.col("text"), ("licensed under",)), ",").alias("issues"))
+
+
 @query("select doc_id, contains(lower(text), 'licensed under') as hit from documents")
 def prohibited_phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.contains(F.lower("text"), F.lit("licensed under")).alias("hit"))
