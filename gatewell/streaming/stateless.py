@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gatewell.functions import shipping
 from gatewell.plans import engine
+from gatewell.sources import jsonl
+
+
+@F.arrow_udf(T.StringType())
+def _refusal(lines: pa.Array) -> pa.Array:
+    return pa.array([jsonl.refusal(line) for line in lines.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _decoded(lines: pa.Array) -> pa.Array:
+    return pa.array([line.decode("utf-8", "replace") for line in lines.to_pylist()], pa.string())
 
 
 def results(spark: SparkSession, folder: str, campaign: dict) -> DataFrame:
     """A streaming DataFrame of results for files that appear in folder; line numbers do not exist on a stream.
 
-    The strict line parse needs a whole file, so lines here are parsed by the lenient JSON reader: lines that are no
-    object are `invalid`, duplicate keys are not seen.
+    Each line is judged by the strict parse of the batch command. A byte order mark is refused, as a stream does not know
+    which line is a file's first.
     """
-    text = spark.readStream.option("lineSep", "\n").text(folder).filter(F.trim("value") != "")
-    code = F.when(F.from_json(F.col("value"), "map<string,string>").isNull(), F.lit("invalid_json"))
-    lines = text.select(F.lit(None).cast("bigint").alias("line_number"), F.col("value").alias("raw"), F.sha2(F.col("value"), 256).alias("digest"), code.alias("error_code"))
+    shipping.send(spark)
+    line = F.col("line")
+    text = spark.readStream.option("lineSep", "\n").text(folder).select(F.col("value").cast("binary").alias("line")).filter(~F.hex("line").rlike("^(?:20|09|0A|0B|0C|0D)*$"))
+    lines = text.select(F.lit(None).cast("bigint").alias("line_number"), _decoded(line).alias("raw"), F.sha2(F.concat(line, F.lit(b"\n")), 256).alias("digest"), _refusal(line).alias("error_code"))
     return engine.run(lines, campaign)

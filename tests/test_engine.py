@@ -8,6 +8,7 @@ from gatewell.functions import fingerprint, lexicons, money, views
 from gatewell.operators import draft, giving, policy
 from gatewell.plans import catalog, engine
 from gatewell.sources import jsonl
+from gatewell.streaming import stateless
 
 CAMPAIGN = {
     "campaign_id": "C-1", "organization_name": "River Shelter", "campaign_name": "Winter Beds", "purpose": "This campaign adds beds for people without a home in winter.", "tone": "warm-professional",
@@ -210,3 +211,15 @@ def test_guard_text_issues(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = {r["turn"]: r["issues"] for r in catalog.QUERIES["guard_text_issues"](spark, str(tmp_path)).collect()}
     assert [found[k] for k in range(len(rows))] == [*[",".join(w) for w in want.values()], ""]
+
+
+def test_stream_refuses_what_batch_refuses(spark, tmp_path):
+    good = with_()
+    lines = [good.encode(), good[:-1].encode() + b', "email": "b@example.org"}', good.replace("Ada", "x" * 1_048_576).encode(), good.replace("Ada", "A\x00").encode().replace(b"\\u0000", b"\xff"), good.replace('"100.00"', "NaN").encode(), b"", b" \t", b"nope"]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "in.jsonl").write_bytes(b"\n".join(lines) + b"\n")
+    batch = sorted((r["status"], str(r["validation_issues"])) for r in engine.run(jsonl.scan(spark, f"file://{tmp_path}/s/in.jsonl"), CAMPAIGN).collect())
+    run = stateless.results(spark, f"file://{tmp_path}/s", CAMPAIGN).writeStream.format("memory").queryName("strict").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
+    rows = spark.table("strict").collect()
+    assert sorted((r["status"], str(r["validation_issues"])) for r in rows) == batch and [s for s, _ in batch].count("invalid") == 5
