@@ -1,4 +1,4 @@
-"""Normalized views of a text, on which the screens run so that look-alike characters do not hide words.
+"""Normalized views of a text, in which look-alike characters do not hide words. The screens do not run on them yet.
 
 ASCII texts need none and stay in the JVM. Others go through an Arrow UDF; rows are split first, because a Python
 function inside when() is evaluated for every row.
