@@ -7,7 +7,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewell.functions import lexicons, money
+from gatewell.functions import money, scan, shipping
+
+#: fixed values: what is told of a fact -> the reason, in order
+FACT_REASONS = {
+    "instruction": "instruction_like_fact_excluded",
+    "solicitation": "solicitation_like_fact_excluded",
+    "money": "monetary_fact_excluded",
+    "contact": "contact_like_fact_excluded",
+    "identifier": "donor_identifier_fact_excluded",
+    "policy_control": "policy_control_like_fact_excluded",
+    "giving_history": "giving_history_fact_excluded",
+}
 
 
 @dataclass(frozen=True)
@@ -45,52 +56,52 @@ def salutation(first: Column, last: Column, title: Column) -> Column:
     return F.when(named, F.concat(F.lit("Dear "), title, F.lit(" "), last, F.lit(","))).otherwise(F.concat(F.lit("Hi "), first, F.lit(",")))
 
 
-def _any_view(test) -> Column:
-    return F.exists(identity_views(F.col("first_name"), F.col("last_name"), F.col("title")), test)
-
-
 def decide(donors: DataFrame, policy: Policy, fact_flags: dict[str, Column] | None = None) -> DataFrame:
     """donors with ask_cents, n_days, reason_codes and disposition.
 
     Reads donor_id, first_name, last_name, title, channel, consent, do_not_contact, email, has_address, segment,
     currency, last_gift_cents, last_gift_date and last_contact_date. The first stage with a reason decides: suppressed
     by flag or consent, blocked, suppressed by cadence, review, else allowed. fact_flags adds review reasons of facts.
+    A column `literals` (array<string>), where there is one, holds the person's contact details; else the e-mail is it.
     """
+
     asks = policy.multiplier is not None
     ask = money.ask_cents(F.col("last_gift_cents"), policy.multiplier, policy.increment, policy.least, policy.most) if asks else F.lit(None).cast("bigint")
     days = F.datediff(F.lit(policy.as_of).cast("date"), F.col("last_contact_date"))
     rows = donors.withColumns({"ask_cents": ask, "n_days": days.cast("bigint")})
-    hit = lambda name: _any_view(lambda v: lexicons.screen(v, name))
+    literals = F.col("literals") if "literals" in donors.columns else F.array_compact(F.array("email"))
+    named = identity_views(F.col("first_name"), F.col("last_name"), F.col("title"))
+    rows = rows.withColumn("__kinds", scan.texts_kinds(named, F.col("donor_id"), F.col("first_name"), F.col("last_name"), literals))
+    is_kind = lambda name: F.array_contains("__kinds", name)
     stopped = collect((F.col("do_not_contact"), "do_not_contact"), (F.col("consent") == "denied", "consent_denied"))
     blocked = collect(
         (F.col("consent") == "unknown", "consent_unknown"),
         ((F.col("channel") == "email") & F.col("email").isNull(), "missing_email"),
         ((F.col("channel") == "letter") & ~F.col("has_address"), "missing_postal_address"),
         *([(fact_flags["duplicate_id"], "duplicate_fact_id_across_inputs")] if fact_flags and "duplicate_id" in fact_flags else []),
-        (hit("instruction"), "instruction_like_identity_field"),
-        (hit("policy_control"), "policy_control_like_identity_field"),
-        (hit("giving_field") | hit("giving_context"), "giving_history_like_identity_field"),
-        (hit("solicitation") | hit("money"), "solicitation_like_identity_field"),
-        (_any_view(lexicons.contact), "contact_like_identity_field"),
-        (_any_view(lambda v: F.contains(v, F.col("donor_id"))), "donor_identifier_in_identity_field"),
+        (is_kind("instruction"), "instruction_like_identity_field"),
+        (is_kind("policy_control"), "policy_control_like_identity_field"),
+        (is_kind("giving_history"), "giving_history_like_identity_field"),
+        (is_kind("solicitation") | is_kind("money"), "solicitation_like_identity_field"),
+        (is_kind("contact"), "contact_like_identity_field"),
+        (is_kind("identifier"), "donor_identifier_in_identity_field"),
         (F.col("n_days") < 0, "last_contact_date_in_future"),
         (F.col("last_gift_date") > F.lit(policy.gifts_as_of or policy.as_of).cast("date"), "last_gift_date_in_future"),
         (F.lit(asks) & (F.col("currency") != policy.currency), "giving_currency_mismatch"),
         (F.lit(asks) & F.col("ask_cents").isNull(), "missing_ask_basis"),
     )
     paced = collect((F.col("n_days").between(0, policy.least_days - 1), "contact_frequency_limit"))
-    kinds = ("instruction_like", "solicitation_like", "monetary", "contact_like", "donor_identifier", "policy_control_like", "giving_history")
     review = collect(
         (F.col("segment").isin(*policy.review_segments), "relationship_managed_segment"),
         (F.col("ask_cents") >= policy.review_from, "high_value_ask"),
-        *[(fact_flags[k], f"{k}_fact_excluded") for k in kinds if fact_flags and k in fact_flags],
+        *[(fact_flags[k], code) for k, code in FACT_REASONS.items() if fact_flags and k in fact_flags],
     )
     rows = rows.withColumns({"__s": stopped, "__b": blocked, "__p": paced, "__r": review})
     stages = (("__s", "suppress"), ("__b", "block"), ("__p", "suppress"), ("__r", "review"))
     codes, disposition = F.array().cast("array<string>"), F.lit("allow")
     for name, outcome in reversed(stages):
         codes, disposition = F.when(F.size(name) > 0, F.col(name)).otherwise(codes), F.when(F.size(name) > 0, F.lit(outcome)).otherwise(disposition)
-    return rows.withColumns({"reason_codes": codes, "disposition": disposition}).drop(*[n for n, _ in stages])
+    return rows.withColumns({"reason_codes": codes, "disposition": disposition}).drop("__kinds", *[n for n, _ in stages])
 
 
 def status(disposition: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +14,14 @@ from gatewell.functions import shipping
 from gatewell.plans import engine
 from gatewell.sources import jsonl
 
-
-@F.arrow_udf(T.StringType())
-def _refusal(lines: pa.Array) -> pa.Array:
-    return pa.array([jsonl.refusal(line) for line in lines.to_pylist()], pa.string())
+LINES = T.StructType([T.StructField("line_number", T.LongType()), T.StructField("raw", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("error_code", T.StringType())])
 
 
-@F.arrow_udf(T.StringType())
-def _decoded(lines: pa.Array) -> pa.Array:
-    return pa.array([line.decode("utf-8", "replace") for line in lines.to_pylist()], pa.string())
+def _strict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [line for line in batch.column(0).to_pylist() if line.strip()]
+        columns = [[None] * len(held), [x.decode("utf-8", "replace") for x in held], [hashlib.sha256(x + b"\n").hexdigest() for x in held], [jsonl.refusal(x) for x in held]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], LINES.names)
 
 
 def results(spark: SparkSession, folder: str, campaign: dict) -> DataFrame:
@@ -29,7 +31,5 @@ def results(spark: SparkSession, folder: str, campaign: dict) -> DataFrame:
     which line is a file's first.
     """
     shipping.send(spark)
-    line = F.col("line")
-    text = spark.readStream.option("lineSep", "\n").text(folder).select(F.col("value").cast("binary").alias("line")).filter(~F.hex("line").rlike("^(?:20|09|0A|0B|0C|0D)*$"))
-    lines = text.select(F.lit(None).cast("bigint").alias("line_number"), _decoded(line).alias("raw"), F.sha2(F.concat(line, F.lit(b"\n")), 256).alias("digest"), _refusal(line).alias("error_code"))
-    return engine.run(lines, campaign)
+    lines = spark.readStream.option("lineSep", "\n").text(folder).select(F.col("value").cast("binary").alias("line"))
+    return engine.run(lines.mapInArrow(_strict, LINES), campaign)
