@@ -1,9 +1,12 @@
 """HTML main-text extraction: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks of text at block-level tags. A block is described by its words and link density, by
-those of its two neighbours, and by where it stands: in an article or main element, in an element that by its tag, role,
-class or id is page furniture, or in neither. A class, an id or a form is no furniture where the page itself stands in it. A decision tree trained on TABLE, a small labelled table, tells main
-text from the rest. Scripts, styles, the head and other elements without page text never become blocks.
+those of its two neighbours, and by numbers for where it stands: in an article or main element, in an element that by
+tag or role is page furniture, how far classes and ids around it name furniture or other people's text, and which share
+of the page's words its article elements hold. A decision tree trained on the blocks of PAGES, a small labelled table,
+judges every block; nothing is kept or dropped beside it. A name that is only part of a class weighs half, and elements
+in which the page itself stands name nothing. Scripts, styles, the head, hidden elements and others without page text
+never become blocks.
 """
 
 from __future__ import annotations
@@ -20,28 +23,23 @@ from pyspark.sql import types as T
 
 from gatewell.llm import common
 
-OPEN, MAIN, FURNITURE = 0, 1, 2  # where a block stands
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place")
-#: (words, link density, those of the block before, those of the block after, place) -> main text or not
-TABLE = [
-    # paragraphs and headings of an article, long and short
-    (85, 0.00, 60, 0.00, 70, 0.00, MAIN, 1), (40, 0.05, 12, 0.00, 55, 0.00, MAIN, 1), (9, 0.00, 1, 1.00, 80, 0.00, MAIN, 1), (1, 0.00, 50, 0.00, 1, 0.00, MAIN, 1),
-    (2, 0.00, 1, 0.00, 2, 0.00, MAIN, 1), (120, 0.20, 0, 0.00, 0, 0.00, MAIN, 1), (3, 0.00, 90, 0.00, 6, 0.10, MAIN, 1), (1, 0.00, 6, 0.00, 8, 0.00, MAIN, 1),
-    (14, 0.30, 40, 0.00, 35, 0.00, MAIN, 1), (6, 0.60, 70, 0.00, 65, 0.05, MAIN, 1), (4, 1.00, 80, 0.00, 90, 0.00, MAIN, 1), (25, 0.00, 8, 1.00, 4, 0.00, MAIN, 1),
-    (8, 0.00, 6, 0.00, 3, 1.00, MAIN, 1), (200, 0.01, 1, 1.00, 1, 1.00, MAIN, 1), (5, 0.00, 0, 0.00, 0, 0.00, MAIN, 1), (1, 1.00, 30, 0.00, 30, 0.00, MAIN, 1),
-    # furniture: menus, notices, adverts, forms, footers, comments, whatever their length
-    (1, 1.00, 1, 1.00, 1, 1.00, FURNITURE, 0), (2, 1.00, 0, 0.00, 2, 1.00, FURNITURE, 0), (9, 0.00, 1, 1.00, 10, 0.00, FURNITURE, 0), (30, 0.00, 2, 1.00, 12, 0.00, FURNITURE, 0),
-    (60, 0.02, 40, 0.00, 3, 1.00, FURNITURE, 0), (12, 0.10, 80, 0.00, 0, 0.00, FURNITURE, 0), (110, 0.00, 70, 0.00, 90, 0.00, FURNITURE, 0), (4, 0.00, 85, 0.00, 50, 0.00, FURNITURE, 0),
-    (15, 0.50, 25, 0.00, 30, 0.00, FURNITURE, 0), (45, 0.00, 45, 0.00, 45, 0.00, FURNITURE, 0), (1, 0.00, 0, 0.00, 0, 0.00, FURNITURE, 0), (220, 0.00, 0, 0.00, 0, 0.00, FURNITURE, 0),
-    # pages without an article element: text by length and links
-    (80, 0.00, 60, 0.00, 90, 0.00, OPEN, 1), (45, 0.10, 30, 0.00, 25, 0.00, OPEN, 1), (22, 0.00, 45, 0.00, 50, 0.10, OPEN, 1), (60, 0.00, 2, 1.00, 3, 1.00, OPEN, 1),
-    (150, 0.15, 1, 1.00, 0, 0.00, OPEN, 1), (16, 0.00, 40, 0.00, 38, 0.00, OPEN, 1), (5, 0.00, 70, 0.00, 85, 0.00, OPEN, 1), (7, 0.00, 1, 1.00, 95, 0.00, OPEN, 1),
-    (30, 0.05, 0, 0.00, 0, 0.00, OPEN, 1), (12, 0.20, 60, 0.00, 70, 0.00, OPEN, 1), (3, 0.00, 55, 0.05, 40, 0.00, OPEN, 1), (18, 0.00, 20, 0.00, 18, 0.00, OPEN, 1),
-    (2, 1.00, 1, 1.00, 2, 1.00, OPEN, 0), (1, 1.00, 0, 0.00, 1, 1.00, OPEN, 0), (6, 0.00, 2, 1.00, 1, 1.00, OPEN, 0), (4, 0.00, 3, 1.00, 5, 0.00, OPEN, 0),
-    (20, 0.90, 10, 1.00, 12, 1.00, OPEN, 0), (35, 0.80, 40, 0.00, 6, 1.00, OPEN, 0), (3, 0.00, 2, 0.00, 2, 1.00, OPEN, 0), (8, 0.60, 50, 0.00, 4, 1.00, OPEN, 0),
-    (5, 0.00, 6, 0.00, 4, 0.00, OPEN, 0), (2, 0.00, 0, 0.00, 3, 0.00, OPEN, 0), (10, 0.70, 3, 0.00, 8, 0.80, OPEN, 0), (50, 0.95, 60, 0.90, 40, 0.90, OPEN, 0),
-    (3, 1.00, 80, 0.00, 0, 0.00, OPEN, 0), (6, 0.00, 9, 0.50, 0, 0.00, OPEN, 0), (4, 0.50, 2, 1.00, 6, 0.00, OPEN, 0), (1, 0.00, 1, 1.00, 2, 1.00, OPEN, 0),
-    (1, 1.00, 1, 1.00, 80, 0.00, OPEN, 0), (2, 1.00, 2, 1.00, 60, 0.00, OPEN, 0), (3, 1.00, 0, 0.00, 90, 0.00, OPEN, 0), (1, 1.00, 70, 0.00, 1, 1.00, OPEN, 0),
+FEATURES = ("in_main", "by_tag", "foreign", "named", "main_share", "title", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
+#: labelled pages: of each block its path of elements (.class, #id, :role), words, link density, main text or not
+PAGES = [
+    [("nav ul li", 1, 1.0, 0), ("nav ul li", 2, 1.0, 0), ("nav ul li", 1, 1.0, 0), ("div.ad", 8, 0.0, 0), ("article h1", 7, 0.0, 1), ("article p", 60, 0.0, 1), ("article p", 1, 0.0, 1), ("article p", 120, 0.04, 1), ("article p", 3, 0.0, 1), ("article ul li", 4, 1.0, 1), ("article ul li", 6, 0.5, 1), ("article p", 30, 0.3, 1), ("footer", 9, 0.0, 0)],
+    [("header h1", 2, 0.0, 0), ("header nav a", 5, 1.0, 0), ("div.cookie-notice p", 30, 0.1, 0), ("main h1", 5, 0.0, 1), ("main p", 80, 0.02, 1), ("main div.share", 4, 1.0, 0), ("main p", 45, 0.0, 1), ("main aside p", 25, 0.0, 0), ("main p", 2, 0.0, 1), ("main div.comments p", 40, 0.0, 0), ("main div.comments p", 3, 0.0, 0), ("main div.comments p", 90, 0.0, 0), ("div.sidebar p", 35, 0.1, 0), ("footer p", 20, 0.3, 0)],
+    [("ul li", 1, 1.0, 0), ("ul li", 2, 1.0, 0), ("ul li", 1, 1.0, 0), ("div", 70, 0.0, 1), ("div", 40, 0.1, 1), ("div", 5, 0.0, 1), ("div", 55, 0.0, 1), ("div", 3, 1.0, 0), ("div", 2, 1.0, 0), ("div.footer", 12, 0.0, 0)],
+    [("div#top", 3, 1.0, 0), ("div h1", 6, 0.0, 1), ("div p", 25, 0.0, 1), ("div p", 18, 0.05, 1), ("div p", 110, 0.15, 1), ("div p", 7, 0.0, 1), ("div p", 50, 0.0, 1), ("table tr td", 3, 1.0, 0), ("table tr td", 2, 1.0, 0), ("table tr td", 4, 0.8, 0), ("form p", 6, 0.0, 0), ("div.newsletter p", 22, 0.0, 0), ("div#comments p", 65, 0.0, 0)],
+    [("div.has-sidebar nav li", 1, 1.0, 0), ("div.has-sidebar div.page-header p", 4, 0.0, 0), ("div.has-sidebar article h1", 8, 0.0, 1), ("div.has-sidebar article section.legal-analysis p", 70, 0.0, 1), ("div.has-sidebar article section.legal-analysis p", 6, 0.0, 1), ("div.has-sidebar article section.legal-analysis li", 3, 0.0, 1), ("div.has-sidebar article section#search p", 48, 0.02, 1), ("div.has-sidebar article section#search p", 30, 0.1, 1), ("div.has-sidebar article div.toc li", 3, 1.0, 0), ("div.has-sidebar article div.toc li", 2, 1.0, 0), ("div.has-sidebar article div.tags a", 4, 1.0, 0), ("div.has-sidebar article p", 85, 0.0, 1), ("div.has-sidebar div.sidebar li", 4, 1.0, 0), ("div.has-sidebar div.sidebar p", 30, 0.0, 0), ("footer p", 7, 0.2, 0)],
+    [("form nav li", 2, 1.0, 0), ("form main h1", 6, 0.0, 1), ("form main p", 40, 0.0, 1), ("form main div.social-history p", 66, 0.0, 1), ("form main div.social-history p", 4, 0.0, 1), ("form main form p", 12, 0.0, 0), ("form main form label", 2, 0.0, 0), ("form main div.promo", 15, 0.2, 0), ("form main div.related li", 6, 1.0, 0), ("form main div.related h3", 2, 0.0, 0), ("form main p", 12, 0.0, 1), ("form div.copyright", 10, 0.0, 0)],
+    [("div.menu li", 2, 1.0, 0), ("div.menu li", 3, 1.0, 0), ("div.banner p", 14, 0.0, 0), ("div h2", 4, 0.0, 1), ("div p", 95, 0.0, 1), ("div p", 33, 0.2, 1), ("div div.side-effects p", 44, 0.0, 1), ("div p", 61, 0.0, 1), ("div.related div article h2", 5, 1.0, 0), ("div.related div article p", 28, 0.0, 0), ("div.related div article p", 19, 0.0, 0), ("ul li", 2, 1.0, 0)],
+    [("header p", 3, 1.0, 0), ("article header h1", 9, 0.0, 1), ("article header p", 4, 0.5, 0), ("article p", 140, 0.0, 1), ("article blockquote p", 22, 0.0, 1), ("article figure figcaption", 11, 0.0, 1), ("article div.ads", 7, 0.0, 0), ("article div.advertisement p", 60, 0.0, 0), ("article table tr td", 1, 0.0, 1), ("article table tr td", 2, 0.0, 1), ("article table tr td", 1, 1.0, 1), ("article div.notice p", 24, 0.0, 0), ("article footer p", 16, 0.1, 0), ("section.comment-list article p", 54, 0.0, 0), ("section.comment-list article p", 8, 0.0, 0), ("section.comment-list article p", 110, 0.0, 0)],
+    [("div p", 2, 1.0, 0), ("div p", 12, 1.0, 0), ("article p", 5, 0.0, 1), ("article div.form-of-words p", 9, 0.0, 1), ("article div.ad-hoc p", 31, 0.0, 1), ("article div.ad-hoc p", 6, 0.0, 1), ("article div.header-file p", 20, 0.0, 1), ("article div.pagination", 5, 1.0, 0), ("article div.breadcrumbs", 4, 0.8, 0), ("article div.share p", 3, 0.0, 0), ("article div.sidebar p", 9, 0.0, 0), ("article div#legal p", 60, 0.0, 1), ("article div#legal p", 25, 0.0, 1), ("div p", 40, 0.0, 0), ("div p", 5, 0.0, 0), ("div p", 18, 0.3, 0)],
+    [("div li", 3, 1.0, 0), ("div li", 2, 1.0, 0), ("div li", 20, 0.9, 0), ("div li", 4, 0.0, 0), ("div li", 35, 0.85, 0), ("div p", 3, 0.0, 0), ("div p", 2, 1.0, 0), ("div p", 6, 0.6, 0)],
+    [("p", 30, 0.0, 1), ("p", 16, 0.0, 1), ("p", 9, 0.0, 1), ("p", 28, 0.0, 1)],
+    [("div p", 9, 1.0, 0), ("header h1", 3, 0.0, 0), ("header p", 12, 0.0, 0), ("article header p", 3, 1.0, 0), ("article header h1", 4, 0.0, 1), ("article p", 26, 0.0, 1), ("article p", 3, 1.0, 1), ("article dialog p", 14, 0.0, 0), ("article footer p", 9, 0.0, 0), ("div p", 90, 0.0, 0), ("div p", 70, 0.0, 0), ("div p", 45, 0.0, 0), ("div p", 12, 0.0, 0), ("aside p", 60, 0.0, 0)],
+    [("div.header p", 2, 1.0, 0), ("article header h1", 7, 0.0, 1), ("article header h1", 2, 0.0, 1), ("article header p", 6, 0.0, 0), ("article p", 10, 0.0, 1), ("article p", 17, 0.9, 1), ("article div.share li", 2, 1.0, 0), ("article div.menu li", 5, 1.0, 0), ("article div.toc li", 16, 1.0, 0), ("article div.tags li", 19, 1.0, 0), ("div.footer p", 30, 0.0, 0), ("div.sidebar p", 80, 0.0, 0)],
+    [("nav li", 2, 1.0, 0), ("div p", 3, 0.0, 1), ("div p", 40, 0.0, 1), ("div p", 2, 0.0, 1), ("div p", 33, 0.1, 1), ("div p", 8, 0.0, 1), ("div.widget p", 22, 0.0, 0), ("div.popup p", 22, 0.0, 0), ("footer p", 5, 0.0, 0)],
 ]
 
 
@@ -54,7 +52,7 @@ class Node:
     keep: bool = False
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 2) -> Node:
     """A binary decision tree by Gini impurity; the first best split in feature order."""
     node = Node(keep=bool(y.mean() >= 0.5) if len(y) else False)
     if depth == 0 or len(set(y.tolist())) < 2:
@@ -77,16 +75,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
     return node
 
 
-def train(table: list[tuple] = TABLE) -> Node:
-    rows = np.array(table, float)
-    # the place decides between two trees of like kind, so it is put first among equals
-    return grow(np.concatenate([rows[:, 6:7], rows[:, :6]], axis=1), rows[:, 7])
-
-
 def is_main(node: Node, features: tuple[float, ...]) -> bool:
-    ordered = (features[6], *features[:6])
     while node.feature >= 0:
-        node = node.low if ordered[node.feature] <= node.bar else node.high
+        node = node.low if features[node.feature] <= node.bar else node.high
     return node.keep
 
 
@@ -96,10 +87,13 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 FURNISHING = {"nav", "header", "footer", "aside", "button", "dialog", "menu", "label", "input"}
 WRAPPING = {"form", "fieldset"}  # furniture, unless the page stands in it
 MAINLY = {"article", "main"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "label"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: words in role, class and id that mark furniture
-SIGNS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall|sidebar|side|aside|rail|widgets?|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|header|masthead|topbar|footer|copyright|legal|comments?|replies|reply|respond|disqus|discussion|reactions?|share|sharing|social|related|recommended|trending|search|form|complementary|contentinfo|tags|toc|byline-ads|skip)(?=$|[\s_-])", re.I)
+#: words in classes and ids: of other people's text (advertisers, operators, readers), of furniture, and those that say nothing
+FOREIGN = re.compile(r"ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall|comments?|replies|reply|respond|disqus|discussion|reactions?", re.I)
+NAMED = re.compile(r"sidebar|side|aside|rail|widgets?|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|header|masthead|topbar|footer|copyright|legal|share|sharing|social|related|recommended|trending|search|form|complementary|contentinfo|tags|toc|skip", re.I)
+PLAIN = re.compile(r"lists?|box|block|section|wrap(?:per)?|container|inner|outer|items?|area|content|site|page|main|global|top|bottom|left|right|primary|secondary|group|bar|threads?|body|text|title|links?|posts?|entry|user|count|col|row|panel|zone|unit|slot|sticky|fixed|js|wp|\d+", re.I)
 #: signs of text about a page, or of other pages: an article in it is not the page's
 ASIDE = re.compile(r"comment|repl(?:y|ies)|respond|disqus|discussion|reaction|related|recommended|trending|\bads?\b|advert|sponsor|promo", re.I)
 #: what a page has or lacks says nothing of the element itself
@@ -110,31 +104,36 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P
 ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
 
+def weigh(names: str, signs: re.Pattern[str]) -> float:
+    """How far class names or ids name what signs list: 1 wholly, 0.5 in part, 0 not at all."""
+    most = 0.0
+    for name in names.split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if any(map(signs.fullmatch, parts)):
+            most = max(most, 1.0 if all(signs.fullmatch(x) or PLAIN.fullmatch(x) for x in parts) else 0.5)
+    return most
+
+
 class Element:
-    """An open block element. Soft ones are furniture by class, id or as a form, unless the page stands in them."""
+    """An open block element, and what it says of the text inside. Names, and forms, say nothing where the page itself stands in them."""
 
-    __slots__ = ("name", "own", "soft", "aside", "parent", "words", "main", "article", "title", "place")
+    __slots__ = ("name", "parent", "by_tag", "soft", "mainly", "foreign", "named", "aside", "words", "main", "article", "title", "hidden", "around")
 
     def __init__(self, name: str, attrs: str, parent: Element | None):
-        self.name, self.parent, self.own, self.soft, self.aside = name, parent, OPEN, False, False
-        self.words, self.main, self.article, self.title, self.place = 0, name == "main", name == "article", name == "h1", OPEN
-        if name in FURNISHING:
-            self.own = FURNITURE
-            return
+        self.name, self.parent, self.words, self.around = name, parent, 0, (0.0,) * 4
+        self.main, self.article, self.title = name == "main", name == "article", name == "h1"
         has: dict[str, str] = {}
         for key, value in ATTR.findall(attrs) if attrs and name not in ("html", "body") else ():
             has.setdefault(key.lower(), value.strip("\"'"))
         role = has.get("role", "").lower()
+        self.hidden = "hidden" in has or has.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I))
+        self.by_tag, self.soft = name in FURNISHING or role in ROLES, name in WRAPPING
         self.main, self.article = self.main or role == "main", self.article or role == "article"
-        hidden = "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I)
-        if hidden or SIGNS.search(role):
-            self.own = FURNITURE
-        elif self.main or self.article:
-            self.own = MAIN
-        else:
-            signs = [MODIFIER.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", has.get(k, ""))) for k in ("class", "id")]
-            self.soft = name in WRAPPING or any(map(SIGNS.search, signs))
-            self.aside = any(map(ASIDE.search, signs))
+        self.mainly = (self.main or self.article) and not self.by_tag
+        names = MODIFIER.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{has.get('class', '')} {has.get('id', '')}")) if "class" in has or "id" in has else ""
+        own = names and not self.mainly
+        self.foreign, self.named = (weigh(names, FOREIGN), weigh(names, NAMED)) if own else (0.0, 0.0)
+        self.aside = bool(own and ASIDE.search(names))
 
     def holds_page(self, words: int) -> bool:
         """Whether the page itself stands in it: its main element, or most words with its title or article."""
@@ -142,23 +141,71 @@ class Element:
 
 
 def _settle(elements: list[Element], loose: int) -> None:
-    """Find the place of each element, given in order of their start tags; loose: words outside all elements."""
+    """Find what surrounds the text of each element, given in order of their start tags; loose: words outside all elements."""
     for e in reversed(elements):
-        if e.own != FURNITURE:
-            if e.parent is None:
-                loose += e.words
-            else:
-                e.parent.words += e.words
-                e.parent.main, e.parent.article, e.parent.title = e.parent.main or e.main, e.parent.article or e.article, e.parent.title or e.title
+        if e.parent is None:
+            loose += 0 if e.by_tag else e.words
+        elif not e.by_tag:
+            e.parent.words += e.words
+            e.parent.main, e.parent.article, e.parent.title = e.parent.main or e.main, e.parent.article or e.article, e.parent.title or e.title
     for e in elements:
-        own = FURNITURE if e.soft and not e.holds_page(loose) else e.own
-        around = e.parent.place if e.parent else OPEN
-        e.place = FURNITURE if FURNITURE in (own, around) else max(own, around)
-
-
-def blocks(page: str) -> list[tuple[str, float, int]]:
-    """Flat blocks in page order: text with white space collapsed, link density, place."""
-    out: list[tuple[str, float, Element | None]] = []
+        in_main, by_tag, foreign, named = e.parent.around if e.parent else (0.0,) * 4
+        if not (e.mainly or e.holds_page(loose)):
+            by_tag, foreign, named = max(by_tag, float(e.by_tag or e.soft)), max(foreign, e.foreign), max(named, e.named)
+        elif e.by_tag:
+            by_tag = 1.0
+        if e.mainly and max(by_tag, foreign, named) < 1:
+            in_main = 1.0
+        e.around = in_main, by_tag, foreign, named
+
+
+Block = tuple[str, int, float, Element | None]  # text, words, link density, innermost element
+
+
+def describe(found: list[Block]) -> list[tuple[float, ...]]:
+    """FEATURES of each block of a page."""
+    whole = sum(b[1] for b in found) or 1
+    around = [e.around if e else (0.0,) * 4 for *_, e in found]
+    share = sum(b[1] for b, a in zip(found, around, strict=True) if a[0]) / whole
+    sizes = [(0.0, 0.0), *[(float(n), density) for _, n, density, _ in found], (0.0, 0.0)]
+    title = [float(e is not None and e.name == "h1") for *_, e in found]
+    return [(*around[k], share, title[k], *sizes[k + 1], *sizes[k], *sizes[k + 2]) for k in range(len(found))]
+
+
+def labelled(pages: list[list[tuple[str, int, float, int]]] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the labelled pages."""
+    rows: list[tuple[float, ...]] = []
+    labels: list[int] = []
+    for page in pages:
+        known: dict[tuple[str, ...], Element] = {}
+        elements: list[Element] = []
+        found: list[Block] = []
+        for path, n, density, keep in page:
+            steps = path.split()
+            parent = None
+            for k, step in enumerate(steps):
+                at = tuple(steps[: k + 1])
+                if at not in known or k == len(steps) - 1:
+                    name, marks = re.match(r"(\w+)(.*)", step).groups()
+                    attrs = " ".join(f'{ {".": "class", "#": "id", ":": "role"}[m[0]] }="{m[1:]}"' for m in re.findall(r"[.#:][\w-]+", marks))
+                    known[at] = Element(name, attrs, parent)
+                    elements.append(known[at])
+                parent = known[at]
+            parent.words += n
+            found.append(("", n, density, parent))
+            labels.append(keep)
+        _settle(elements, 0)
+        rows += describe(found)
+    return np.array(rows, float), np.array(labels, float)
+
+
+def train(pages: list[list[tuple[str, int, float, int]]] = PAGES) -> Node:
+    return grow(*labelled(pages))
+
+
+def blocks(page: str) -> list[Block]:
+    """Flat blocks in page order: text with white space collapsed, words, link density, element."""
+    out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[Element] = []  # open block elements
@@ -176,12 +223,12 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                letters = len("".join(words.split()))
-                out.append((words, min(1.0, len("".join("".join(linked).split())) / letters), place))
+                letters, n = len("".join(words.split())), words.count(" ") + 1
+                out.append((words, n, min(1.0, len("".join("".join(linked).split())) / letters), place))
                 if place is None:
-                    loose += words.count(" ") + 1
+                    loose += n
                 else:
-                    place.words += words.count(" ") + 1
+                    place.words += n
             text.clear()
             linked.clear()
 
@@ -244,7 +291,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         else:
             if silent and silent[-1][0] in BREAKOUT and name in HTML_BLOCKS and name not in (BREAKOUT[silent[-1][0]] or ()):
                 silent.pop()
-            low = silent[-1][1] if silent else 0  # nothing in a silent element closes what stands around it
+            low = silent[-1][1] - (silent[-1][0] == "hidden") if silent else 0  # nothing in a silent element closes what stands around it
             if name == "p" or name not in ("span", "label"):
                 while len(stack) > low and stack[-1].name == "p":
                     stack.pop()  # a block closes an open paragraph
@@ -252,42 +299,39 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(name, (name,))
                 while len(stack) > low and stack[-1].name in same:
                     stack.pop()
+            heard()
             if not attrs.endswith("/"):
                 stack.append(Element(name, attrs, stack[-1] if stack else None))
                 elements.append(stack[-1])
+                if stack[-1].hidden:
+                    silent.append(("hidden", len(stack)))  # until the element itself is closed
         place = stack[-1] if stack else None
         if not ending:
             links = 0
     say(page[at:])
     close()
     _settle(elements, loose)
-    return [(words, density, e.place if e else OPEN) for words, density, e in out]
+    return out
 
 
 def extract(page: str | None, tree: Node) -> str:
-    """The main text of a page; empty if there is none. Pages with an article or main element have no text elsewhere."""
+    """The main text of a page; empty if there is none. The tree judges every block."""
     found = blocks(page or "")
-    if any(place == MAIN for _, _, place in found):
-        found = [b for b in found if b[2] != OPEN]
-    words = [b[0].count(" ") + 1 for b in found]
-    kept = []
-    for k, (text, density, place) in enumerate(found):
-        before = (words[k - 1], found[k - 1][1]) if k else (0, 0.0)
-        after = (words[k + 1], found[k + 1][1]) if k + 1 < len(found) else (0, 0.0)
-        if is_main(tree, (words[k], density, *before, *after, place)):
-            kept.append(text)
-    return " ".join(kept)
-
-
-def main_text(pages: DataFrame, html_col: str = "html", out: str = "text", table: list[tuple] = TABLE) -> DataFrame:
+    return " ".join(b[0] for b, features in zip(found, describe(found), strict=True) if is_main(tree, features))
+
+
+def main_text(pages: DataFrame, html_col: str = "html", out: str = "text", table: list[list[tuple[str, int, float, int]]] = PAGES) -> DataFrame:
     """pages with a string column `out`, the main text of each whole page; a column of that name is replaced.
 
-    Null pages count as empty; an empty page, or one of furniture only, has an empty text. Rows are kept as they come.
+    Null pages count as empty; an empty page, or one of furniture only, has an empty text. Rows are kept as they come,
+    repeated ones too, and an empty table stays empty. A long page costs memory in proportion to its length.
     """
     tree = common.broadcast(pages.sparkSession, train(table))
 
     @F.arrow_udf(T.StringType())
     def extracted(found: pa.Array) -> pa.Array:
-        return pa.array([extract(page.as_py(), tree.value) for page in found], pa.string())
+        out = pa.array([extract(page.as_py(), tree.value) for page in found], pa.string())
+        common.tidy()
+        return out
 
     return pages.withColumn(out, extracted(F.col(html_col)))
