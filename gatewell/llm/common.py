@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+_libc = ctypes.CDLL(None)
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +46,14 @@ def broadcast(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def tidy() -> None:
+    """Give back what a Python worker has freed; workers live on between tasks, so each batch function ends with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary folder of this machine only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -97,21 +110,49 @@ def held_out(id_col: str, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(id_col, modulus) == F.lit(value), F.lit(False))
 
 
-def sample_by_label(df: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
-    """A bounded sample: of each non-null label, about per_label rows at most, chosen by a hash of the id.
+def sample_by_label(df: DataFrame, label_col: str, keys: list[str], per_label: int) -> list[Row]:
+    """Of each non-null label the per_label distinct rows (by keys) whose hashes are least, or all if there are fewer.
 
-    The counts per label are the only thing collected: one row per label. The choice does not depend on
-    partitioning or row order.
+    A scan keeps the rows below a bar, a share of the hashes that holds four times as many rows as are wanted; where
+    repeated rows leave too few distinct ones, it is run again with a share sixteen times as large. The driver gets a
+    count and at most per_label rows a label. The choice depends on neither partitioning nor row order.
     """
-    df = df.filter(F.col(label_col).isNotNull())
+    df = df.filter(F.col(label_col).isNotNull()).withColumn("__hash", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *keys), 1))
     counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}
-    bar = F.lit(0)
-    for label, n in counts.items():
-        share = min(1.0, per_label / n)
-        bar = F.when(F.col(label_col) == F.lit(label), F.lit(int(share * 1_000_003))).otherwise(bar)
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_003)) < bar)
+    share = 4 * per_label
+    while True:
+        bar = F.lit(-1).cast("long")
+        for label, n in counts.items():
+            bar = F.when(F.col(label_col) == F.lit(label), F.lit(min(2**63 - 1, share * 2**63 // n)).cast("long")).otherwise(bar)
+        distinct = df.filter(F.col("__hash") <= bar).dropDuplicates([label_col, *keys])
+        order = Window.partitionBy(label_col).orderBy("__hash", *keys)
+        rows = distinct.withColumn("__turn", F.row_number().over(order)).filter(F.col("__turn") <= per_label).drop("__turn", "__hash").collect()
+        got = Counter(r[label_col] for r in rows)
+        if all(got[label] >= min(n, per_label) or share >= n for label, n in counts.items()):
+            return rows
+        share *= 16
 
 
 def let(value: Column, body) -> Column:
     """Bind value to a lambda variable, so that it is computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, fold=lambda a, n: a + n) -> Column:
+    """array<bigint>: the sum (or another fold from 0) of values (array<bigint>) up to and with each element.
+
+    Folds are made in stretches of about the square root of the array's size, so that a long array costs that root a
+    time its size, not its square.
+    """
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+
+    def folds(part: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), none.alias("ends"))
+        return F.aggregate(part, start, lambda s, n: let(fold(s["at"], n), lambda now: F.struct(now.alias("at"), F.concat(s["ends"], F.array(now)).alias("ends"))), lambda s: s["ends"])
+
+    def whole(part: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(part))).cast("int")
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(part) - 1) / step).cast("int")), lambda k: F.slice(part, k * step + 1, step))
+        return let(stretches, lambda them: let(folds(F.transform(them, lambda x: F.aggregate(x, zero, fold)), zero), lambda ends: F.flatten(F.transform(them, lambda x, k: folds(x, F.coalesce(F.get(ends, k - 1), zero))))))
+
+    return let(values, lambda part: F.when(F.size(part) > 0, whole(part)).otherwise(none))

@@ -6,8 +6,8 @@ escape -log2(q(s) / (n(s) + q(s))) plus the cost in the next shorter context; be
 8 bits. n counts the visits of s and q its distinct symbols (escape method C). A text gets the language whose
 tree codes it in the fewest bits; the code length is a sum over all bytes of the whole text.
 
-Since statistics are frozen, the cost of each (deepest context, symbol, language) is tabulated once, and a text is
-scored by a few table lookups a byte in numpy.
+Since statistics are frozen, a language's cost of each (deepest context, symbol) is tabulated once, and a text is
+scored by a few table lookups a byte and language in numpy.
 """
 
 from __future__ import annotations
@@ -25,15 +25,22 @@ from gatewell.llm import common
 UNDETERMINED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
 END = 0xFF  # never occurs in UTF-8; stands between texts
-BLOCK = 1 << 20  # bytes scored at once, which bounds the temporaries
+BLOCK = 1 << 18  # bytes scored at once, which bounds the temporaries
+
+
+@dataclass
+class Tree:
+    """A language's frozen context tree, as tables."""
+
+    child: np.ndarray  # (node, symbol class of the byte before the context) -> longer context, or the dead end
+    cost: np.ndarray  # (node, symbol class) -> bits
 
 
 @dataclass
 class Model:
     langs: list[str]
     classes: np.ndarray  # byte -> symbol class
-    child: np.ndarray  # (node, class of the byte before the context) -> longer context, or the dead end
-    cost: np.ndarray  # (node, class, language) -> bits
+    trees: list[Tree]
     depth: int
 
     @property
@@ -55,33 +62,31 @@ class Model:
 
     def _block(self, texts: list[bytes]) -> np.ndarray:
         data = np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff", np.uint8)
-        symbol = self.classes[data]
         ends = np.flatnonzero(data == END)
         totals = np.zeros((len(texts), len(self.langs)))
+        width, edge = self.width, np.int32(self.classes[END])
         for lo in range(0, len(data), BLOCK):  # a single long text is scored piecewise, with its left context
             hi = min(len(data), lo + BLOCK)
-            here = symbol[lo:hi]
-            node = np.zeros(hi - lo, np.int32)
-            walk = node.copy()
-            dead = self.child.shape[0] // self.width - 1
-            for d in range(1, self.depth + 1):
-                before = np.full(hi - lo, self.classes[END], np.int32)
-                source = symbol[max(0, lo - d) : hi - d]
-                before[hi - lo - len(source) :] = source
-                walk = self.child[walk * self.width + before]
-                node = np.where(walk != dead, walk, node)
-            cost = self.cost[node.astype(np.int64) * self.width + here]
+            back = min(lo, self.depth)
+            symbol = np.concatenate([np.full(self.depth - back, edge), self.classes[data[lo - back : hi]]])
+            here = symbol[self.depth :]
             text_of = np.searchsorted(ends, np.arange(lo, hi), side="right") - 1
             starts = np.flatnonzero(np.diff(text_of, prepend=-2))
-            sums = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
-            for k, s in zip(text_of[starts], sums, strict=True):
-                if 0 <= k < len(texts):
-                    totals[k] += s
+            inside = (text_of[starts] >= 0) & (text_of[starts] < len(texts))
+            for lang, tree in enumerate(self.trees):
+                dead = len(tree.child) // width - 1
+                node = walk = np.zeros(hi - lo, np.int32)
+                for d in range(1, self.depth + 1):
+                    walk = tree.child[walk * width + symbol[self.depth - d : len(symbol) - d]]
+                    node = np.where(walk != dead, walk, node)
+                sums = np.add.reduceat(tree.cost[node * width + here], starts, dtype=np.float64)
+                np.add.at(totals[:, lang], text_of[starts][inside], sums[inside])
         return totals
 
 
-def train(samples: list[tuple[str, str]], depth: int = 3, max_nodes: int = 10_000) -> Model:
-    """Grow and freeze the trees. samples: (language, text). Contexts kept: the max_nodes most visited."""
+def train(samples: list[tuple[str, str]], depth: int = 3, max_nodes: int = 4_000) -> Model:
+    """Grow and freeze a tree for each language. samples: (language, text). A tree keeps its max_nodes most visited
+    contexts, so what a language has does not depend on the others, and the model grows in proportion to their number."""
     langs = sorted({lang for lang, _ in samples})
     by_lang = [[t.encode("utf-8", "replace") for lang, t in samples if lang == x] for x in langs]
     seen = sorted({b for texts in by_lang for t in texts for b in set(t)})
@@ -89,61 +94,42 @@ def train(samples: list[tuple[str, str]], depth: int = 3, max_nodes: int = 10_00
     for k, b in enumerate(seen):
         classes[b] = k + 1
     classes[END] = len(seen) + 1
-    width = len(seen) + 2
-    # counts[lang][order]: packed (context, symbol) -> count
-    counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for texts in by_lang:
-        symbol = classes[np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff", np.uint8)].astype(np.int64)
-        per_order, key, ok = [], symbol.copy(), symbol != classes[END]
-        for order in range(depth + 1):
-            if order:
-                before = np.concatenate([np.full(order, classes[END]), symbol[:-order]])
-                ok = ok & (before != classes[END])
-                key = key + before * width**order
-            per_order.append(np.unique(key[ok], return_counts=True))
-        counts.append(per_order)
-    # contexts by total visits; a context of order k is packed as its k classes, the newest lowest
-    found: dict[tuple[int, int], int] = {}
-    for per_order in counts:
-        for order, (keys, n) in enumerate(per_order):
-            context, where = np.unique(keys // width, return_inverse=True)
-            for c, v in zip(context.tolist(), np.bincount(where, n).astype(int).tolist(), strict=True):
-                found[order, c] = found.get((order, c), 0) + v
-    chosen = sorted(found, key=lambda s: (-found[s], s))[:max_nodes] or [(0, 0)]
-    chosen = sorted(chosen)  # the empty context first, and each context after its suffix
+    return Model(langs, classes, [_tree(texts, classes, depth, max_nodes) for texts in by_lang], depth)
+
+
+def _tree(texts: list[bytes], classes: np.ndarray, depth: int, max_nodes: int) -> Tree:
+    width = int(classes.max()) + 1
+    symbol = classes[np.frombuffer(b"\xff" + b"\xff".join(texts) + b"\xff", np.uint8)].astype(np.int64)
+    # a context of order k is packed as its k classes, the newest lowest; counts: packed (context, symbol) -> count
+    grown: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    key, ok = symbol.copy(), symbol != classes[END]
+    for order in range(depth + 1):
+        if order:
+            before = np.concatenate([np.full(order, classes[END]), symbol[:-order]])
+            ok = ok & (before != classes[END])
+            key = key + before * width**order
+        for packed, n in zip(*(x.tolist() for x in np.unique(key[ok], return_counts=True)), strict=True):
+            grown.setdefault((order, packed // width), []).append((packed % width, n))
+    visits = {s: sum(n for _, n in symbols) for s, symbols in grown.items()}
+    # the empty context first, and each context after its suffix, which is visited at least as often
+    chosen = sorted(sorted(visits, key=lambda s: (-visits[s], s))[:max_nodes] or [(0, 0)])
     index = {s: k for k, s in enumerate(chosen)}
-    dead = len(chosen)
-    child = np.full((dead + 1, width), dead, np.int32)
-    cost = np.full((dead, width, len(langs)), 8.0, np.float32)
-    parents = {}
+    child = np.full((len(chosen) + 1, width), len(chosen), np.int32)
+    cost = np.full((len(chosen), width), 8.0, np.float32)
     for s, k in index.items():
         order, context = s
         if order:
             oldest, suffix = divmod(context, width ** (order - 1))
             parent = index.get((order - 1, suffix), 0)
             child[parent, oldest] = k
-            parents[k] = parent
-    tables = [[dict(zip(keys.tolist(), n.tolist(), strict=True)) for keys, n in per_order] for per_order in counts]
-    by_context: list[dict[tuple[int, int], list[tuple[int, int]]]] = []
-    for per_order in tables:
-        grouped: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for order, table in enumerate(per_order):
-            for key, n in table.items():
-                context, symbol_class = divmod(key, width)
-                if (order, context) in index:
-                    grouped.setdefault((order, context), []).append((symbol_class, n))
-        by_context.append(grouped)
-    for s, k in index.items():
-        if k in parents:
-            cost[k] = cost[parents[k]]
-        for lang, grouped in enumerate(by_context):
-            if seen_here := grouped.get(s):
-                total, distinct = sum(n for _, n in seen_here), len(seen_here)
-                cost[k, :, lang] -= np.log2(distinct / (total + distinct))
-                for x, n in seen_here:
-                    cost[k, x, lang] = -np.log2(n / (total + distinct))
+            cost[k] = cost[parent]
+        if symbols := grown.get(s):
+            total, distinct = visits[s], len(symbols)
+            cost[k] -= np.log2(distinct / (total + distinct))
+            for x, n in symbols:
+                cost[k, x] = -np.log2(n / (total + distinct))
     cost[:, classes[END]] = 0
-    return Model(langs, classes, child.ravel(), cost.reshape(dead * width, len(langs)), depth)
+    return Tree(child.ravel(), cost.ravel())
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -161,10 +147,9 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
 
 
 def training_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, max_chars: int = 20_000) -> list[tuple[str, str]]:
-    """At most about per_lang whole texts of each language, none longer than max_chars: the bound of what training sees."""
-    fit = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and lang <> ''")
-    chosen = common.sample_by_label(fit, "id", "lang", per_lang).filter(F.length("text").between(1, max_chars))
-    return [(r["lang"], r["text"]) for r in chosen.orderBy("lang", "id", "text").collect()]
+    """At most per_lang whole texts of each language, none longer than max_chars: the bound of what training sees."""
+    fit = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.length("text").between(1, max_chars))
+    return sorted((r["lang"], r["text"]) for r in common.sample_by_label(fit, "lang", ["id", "text"], per_lang))
 
 
 def predictor(model: Model, spark):
@@ -174,6 +159,7 @@ def predictor(model: Model, spark):
     @F.arrow_udf(RESULT)
     def identify(texts: pa.Array) -> pa.Array:
         langs, scores, rates = predict_texts(shared.value, texts.to_pylist())
+        common.tidy()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], ["lang_pred", "score", "bits"])
 
     return identify
@@ -183,7 +169,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     """docs with a struct column `out` (lang_pred, score, bits per byte); a column of that name is replaced.
 
     Every row is kept, repeated rows included. Null texts and texts without a letter get `und` with score 0; an
-    empty table gives an empty result; with nothing to learn from, every row is `und`.
+    empty table gives an empty result; with nothing to learn from, every row is `und`. Of languages that code a text
+    in equally few bits the first by name is given. Long texts are coded whole, a stretch at a time.
     """
     found: Column = predictor(model, docs.sparkSession)(F.col(text_col))
     return docs.withColumn(out, found)

@@ -139,16 +139,18 @@ def score_texts(net: Network | None, texts: list[str | None]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 300, max_chars: int = 50_000) -> list[tuple[int, str]]:
-    """At most about per_label whole texts of each label, none longer than max_chars: the bound of what training sees.
+    """At most per_label whole texts of each label, none longer than max_chars: the bound of what training sees.
 
-    The sample is drawn from the labels first, so documents are joined with a few hundred ids only.
+    The sample is drawn from the labels first, so documents are joined with a few hundred ids only. Of an id's texts
+    beyond four times as many in all, those with the least hashes are taken.
     """
     narrow = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null and label in (0, 1)")
-    chosen = {r["id"]: r["label"] for r in common.sample_by_label(narrow, "id", "label", per_label).orderBy("id", "label").collect()}
+    chosen = {r["id"]: r["label"] for r in sorted(common.sample_by_label(narrow, "label", ["id"], per_label))}
     if not chosen:
         return []
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isin(list(chosen))).filter(F.length("text") <= max_chars)
-    return [(chosen[r["id"]], r["text"]) for r in texts.orderBy("id", "text").limit(4 * per_label).collect()]
+    rows = texts.orderBy(F.xxhash64("id", "text"), "id", "text").limit(8 * per_label).collect()
+    return [(chosen[r["id"]], r["text"]) for r in sorted(rows)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", modulus: int = 3, hold: int = 1) -> Network | None:
@@ -159,13 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", modulus: int
 def classify(docs: DataFrame, net: Network | None, text_col: str = "text", out: str = "quality_score") -> DataFrame:
     """docs with a struct column `out` (score, predicted); a column of that name is replaced.
 
-    Every row is kept, repeated rows included. Null counts as the empty text, which gets a score like any other.
+    Every row is kept, repeated rows included. Null counts as the empty text, which gets a score like any other. Long
+    texts are scored whole, some thousand chunks at a time; an empty table stays empty; a score of exactly 0.5, as all
+    rows get where there was nothing to learn from, is predicted 1.
     """
     shared = common.broadcast(docs.sparkSession, net)
 
     @F.arrow_udf(RESULT)
     def scored(texts: pa.Array) -> pa.Array:
         scores = score_texts(shared.value, texts.to_pylist())
+        common.tidy()
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["score", "predicted"])
 
     return docs.withColumn(out, scored(F.col(text_col)))
