@@ -8,10 +8,12 @@ probability of 6e-7.
 Equal sets are first collapsed to their smallest id, so copies cost one row each. In every bucket a star of candidate
 pairs joins one centre with the other members; the same order of precedence holds in all buckets, so a document meets
 few centres. Pairs that a parity sketch of each set shows to differ too much go, none wrongly; links are confirmed on
-the full sets of shingle hashes. Buckets whose members do not all hang together then get further centres, sixteen
-times as many each turn, from their largest components first, until every bucket's members are in one component or have
-all been compared: no bucket is cut off, and pairs are made of what the sketches leave, not of a bucket's square.
-Components are found by alternating stars, in tables on the shared folder.
+the full sets of shingle hashes, the pairs of a centre dealt out in lots. Buckets whose members do not all hang
+together then get further centres, one in each of sixteen times as many classes of ids each turn, from the largest
+components first, until every bucket's members are in one component or have all been compared: no bucket is cut off,
+and pairs are made of what the sketches leave, not of a bucket's square. A centre is an aggregate of its bucket, so
+map sides combine; the joins by bucket are plain ones whose large partitions Spark splits.
+Components are found by alternating stars, in tables on the shared folder, until nothing changes.
 """
 
 from __future__ import annotations
@@ -21,18 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from gatewell.llm import common
 
 BANDS, ROWS = 36, 5
 BINS = BANDS * ROWS
-WORDS64 = 32  # of 64 bits in a parity sketch
-SUB_BYTES = 2_000_000  # of text hashed at once, which bounds the temporaries
+WORDS64 = 16  # of 64 bits in a parity sketch
+SUB_BYTES, SUB_TEXTS = 500_000, 400  # text and texts hashed at once, which bound the temporaries
+LOT = 512  # pairs of one centre that meet in a task
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
-_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -48,19 +48,37 @@ _PROBES = np.random.default_rng(20240229).integers(0, BINS, (BINS, 4 * BINS))  #
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word (a run of bytes other than ASCII white space), A-Z in lower case."""
-    data = np.frombuffer(b" ".join(texts).translate(_FOLD) + b" ", np.uint8)
-    blank = _BLANK[data]
+    """Hash and text number of every word (a run of bytes other than ASCII white space), A-Z in lower case.
+
+    The joined texts are hashed in stretches of about SUB_BYTES that end at white space, so a long text costs its words
+    at 16 bytes each, not temporaries of its size.
+    """
+    data = b" ".join(texts).translate(_FOLD) + b" "
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        end = data.find(b" ", min(len(data) - 1, at + SUB_BYTES)) + 1
+        found, starts = _stretch(np.frombuffer(data, np.uint8, end - at, at))
+        hashes.append(found)
+        places.append(starts + at)
+        at = end
+    limits = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.searchsorted(limits, np.concatenate(places), side="right")
+
+
+def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of folded bytes that end with a space."""
+    blank = data == 0x20
     edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sizes = ends - starts
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
     power = np.cumprod(np.full(int(sizes.max()), _M2, np.uint64))
-    hashes = np.add.reduceat(_BYTE[data[~blank]] * power[place], np.cumsum(sizes) - sizes)
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return mix(hashes + sizes.astype(np.uint64)), np.searchsorted(limits, starts, side="right")
+    weighed = power[place]
+    weighed *= _BYTE[data[~blank]]
+    return mix(np.add.reduceat(weighed, first) + sizes.astype(np.uint64)), starts
 
 
 def shingle_sets(texts: list[str | None], words: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -129,36 +147,45 @@ def _batches(texts: pa.Array):
     at = 0
     while at < len(texts):
         held, size = [], 0
-        while at < len(texts) and (not held or size < SUB_BYTES):
+        while at < len(texts) and len(held) < SUB_TEXTS and (not held or size < SUB_BYTES):
             held.append(texts[at].as_py())
             size += len(held[-1] or "")
             at += 1
         yield held
 
 
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def sketches(texts: pa.Array, words: int = 2) -> pa.Array:
+    """SKETCH of every text: set size, a 128-bit key of the set, bucket keys (none for empty sets), parity sketch."""
+    parts = []
+    for held in _batches(texts):
+        values, counts = shingle_sets(held, words)
+        ends = np.cumsum(counts)
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values + salt))]) for salt in (_G, _M1)]
+        ka, kb = ((s[ends] - s[ends - counts]).view(np.int64) for s in sums)
+        some = counts > 0
+        bands = band_keys(densified(values, counts[some])) if some.any() else np.zeros((0, BANDS), np.int64)
+        bits = parity_bits(values, counts)
+        columns = [pa.array(counts.astype(np.int64)), pa.array(ka), pa.array(kb), _lists(some * BANDS, bands.ravel()), _lists(np.full(len(held), WORDS64), bits.ravel())]
+        parts.append(pa.StructArray.from_arrays(columns, SKETCH.names))
+    if not parts:
+        return pa.array([], pa.struct([("n", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
+    return pa.concat_arrays(parts)
+
+
 def sketcher(spark, words: int = 2):
-    """A column function text -> struct(n, ka, kb, bands, bits): set size, a 128-bit key of the set, bucket keys (none for empty sets), parity sketch."""
+    """A column function text -> SKETCH."""
     common.ship(spark)
 
     @F.arrow_udf(SKETCH)
     def sketched(texts: pa.Array) -> pa.Array:
-        columns: list[list] = [[], [], [], [], []]
-        for held in _batches(texts):
-            values, counts = shingle_sets(held, words)
-            ends = np.cumsum(counts)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values + salt))]) for salt in (_G, _M1)]
-            ka, kb = ((s[ends] - s[ends - counts]).view(np.int64) for s in sums)
-            some = counts > 0
-            bands = np.zeros((len(held), BANDS), np.int64)
-            bands[some] = band_keys(densified(values, counts[some]))
-            bits = parity_bits(values, counts)
-            columns[0] += counts.tolist()
-            columns[1] += ka.tolist()
-            columns[2] += kb.tolist()
-            columns[3] += [b if n else [] for b, n in zip(bands.tolist(), counts.tolist(), strict=True)]
-            columns[4] += bits.tolist()
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], SKETCH.names)
+        out = sketches(texts, words)
+        common.tidy()
+        return out
 
     return sketched
 
@@ -174,6 +201,7 @@ def hashed_sets(spark, words: int = 2):
             values, n = shingle_sets(held, words)
             parts.append(values.view(np.int64))
             counts.append(n)
+        common.tidy()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
@@ -181,15 +209,24 @@ def hashed_sets(spark, words: int = 2):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """Those pairs (a, b) whose full sets are as similar as percent says. Sets travel with the members, not the centres."""
+    """Those pairs (a, b) whose full sets are as similar as percent says.
+
+    The pairs of a centre a are dealt out in lots of about LOT, and its set is sent to each lot, so the members of a
+    centre that many resemble do not meet in one task.
+    """
+    pairs = common.materialize(pairs, "pairs")
+    many = common.materialize(pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > LOT).select("a", F.ceil(F.col("m") / LOT).alias("lots")), "lots")
+    lots = F.coalesce("lots", F.lit(1).cast("long"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), lots).alias("lot"))
     members = sets.select(F.col("id").alias("b"), F.col("set").alias("b_set"))
-    centres = sets.select(F.col("id").alias("a"), F.col("set").alias("a_set"))
-    joined = pairs.join(members, "b").join(centres, "a")
+    centres = sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")).join(many, "a", "left")
+    centres = centres.select("a", "a_set", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("lot"))
+    joined = dealt.join(members, "b").join(centres, ["a", "lot"])
     both = F.size(F.array_intersect("a_set", "b_set"))
     return joined.select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("sum")).filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b), component being its smallest node.
 
     Large-star and small-star alternate until nothing changes. Each step groups by node for a minimum, which is
@@ -197,7 +234,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     held = common.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -246,17 +283,21 @@ def _links(rows: DataFrame, groups: DataFrame, words: int, percent: int) -> Data
     words64 = [f"w{k}" for k in range(WORDS64)]
     each = groups.select(F.col("rep").alias("id"), "n", "ka", F.explode("bands").alias("key"))
     own_bits = groups.select(F.col("rep").alias("id"), "ka", *[F.get("bits", F.lit(k)).alias(w) for k, w in enumerate(words64)])
-    shared = each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    members = each.join(shared, "key", "left_semi").join(own_bits, ["id", "ka"]).drop("ka")
+    shared = each.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    members = each.join(shared, "key").join(own_bits, ["id", "ka"]).drop("ka")
     buckets = common.materialize(members.withColumns({"component": F.col("id"), "size": F.lit(1).cast("long")}), "buckets")
     texts = rows.join(buckets.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    sets = common.materialize(texts.select("id", hashed_sets(spark, words)(F.col("text")).alias("set")).filter(F.size("set") > 0), "sets")
-    precedence = Window.partitionBy("key").orderBy(F.col("size").desc(), F.xxhash64("id"), "id")
+    # a filter on the sets here would be pushed below the join, and every text hashed once more for it
+    sets = common.materialize(texts.select("id", hashed_sets(spark, words)(F.col("text")).alias("set")), "sets")
+    classes = lambda k: F.pmod(F.xxhash64(F.lit("class"), "id"), F.lit(k))
+    as_centre = {"a": F.col("id"), "a_n": F.col("n"), "a_component": F.col("component")} | {f"a_{w}": F.col(w) for w in words64}
+    first = F.min(F.struct((-F.col("size")).alias("rank"), F.xxhash64("id").alias("order"), *[c.alias(n) for n, c in as_centre.items()]))
     links, centres_a_turn = None, 1
     while True:
-        # row_number() <= k is cut to k rows a key before the shuffle, so a large bucket costs no task more than that
-        chosen = buckets.withColumn("turn", F.row_number().over(precedence)).filter(F.col("turn") <= centres_a_turn)
-        centres = common.materialize(chosen.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"), "turn", *[F.col(w).alias(f"a_{w}") for w in words64]), "centres")
+        # of a bucket that has no more members all are centres, which needs no dealing out
+        few = buckets.filter(F.col("m") <= centres_a_turn).select("key", *[c.alias(n) for n, c in as_centre.items()])
+        many = buckets.filter(F.col("m") > centres_a_turn).groupBy("key", classes(centres_a_turn).alias("class")).agg(first.alias("c")).select("key", *[f"c.{n}" for n in as_centre])
+        centres = common.materialize(few.unionByName(many), "centres")
         differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in words64[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("a_w0"))))
         alike = F.lit(100) * F.least("n", "a_n") >= F.lit(percent) * F.greatest("n", "a_n")
         # similar sets share all but (100 - percent) / (100 + percent) of their sizes' sum, which bounds the bits that differ
@@ -269,12 +310,12 @@ def _links(rows: DataFrame, groups: DataFrame, words: int, percent: int) -> Data
         # what is left: buckets whose members, without the centres so far, are in several components
         found = common.materialize(components(links), "components")
         sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-        rest = buckets.select("key", "id", "n", *words64).join(centres.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        rest = buckets.select("key", "id", "n", *words64).join(centres.select("key", F.col("a").alias("id"), F.col("a_n").alias("n"), F.col("a_w0").alias("w0"), F.col("a_w1").alias("w1")), ["key", "id", "n", "w0", "w1"], "left_anti")
         known = found.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
         marked = rest.join(known, "id", "left").select("key", "id", "n", *words64, F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
         marked = common.materialize(marked, "marked")
-        several = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        after = common.materialize(marked.join(several, "key", "left_semi"), "buckets")
+        several = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high").select("key", "m")
+        after = common.materialize(marked.join(several, "key"), "buckets")
         common.release(buckets, centres, found, marked)
         buckets = after
         if buckets.isEmpty():
