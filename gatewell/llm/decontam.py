@@ -123,6 +123,7 @@ def build(docs: DataFrame, block: Phrases, keys: list[str], text_col: str = "tex
                 size += 6 * len(found) + 64
                 if size >= SHARD_BYTES:
                     yield row()
+                    common.tidy()
                     held, lengths, ids, size = [[] for _ in keys], [], [], 0
         if lengths:
             yield row()
@@ -208,6 +209,7 @@ def search(index: DataFrame, block: Phrases, rarity: dict[int, int], keys: list[
                     spans[d].append({"start": a - int(bases[d]), "end": min(b - int(bases[d]), int(n[d]))})
                 columns = [shard[f"key{k}"] for k in range(len(keys))] + [shard["n_words"], spans, [sorted(f) for f in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.name for f in schema.fields])
+                common.tidy()
 
     return index.mapInArrow(matches, schema)
 

@@ -28,8 +28,8 @@ from gatewell.llm import common
 SPACE = "▁"
 LATIN = 0x250  # below, pairs of characters are looked up in a table; above, in a sorted list
 ROW = 24  # characters of the longest part that is merged in numpy
-REMEMBERED = 1_500_000  # distinct parts whose ids a worker remembers; about 50 MB
-BATCH_CHARS = 2_000_000  # of texts encoded at once, which bounds the temporaries
+REMEMBERED = 600_000  # distinct parts whose ids a worker remembers; about 25 MB
+BATCH_CHARS = 500_000  # of texts encoded at once, which bounds the temporaries
 END = "￿"  # not a character of any vocabulary; stands between texts
 
 
@@ -189,9 +189,9 @@ class Codec:
             self.flat = self.flat[np.repeat(self.first[old], self.counts[old]) + _ramp(self.counts[old])]
             self.known, self.counts = self.known[old], self.counts[old]
             self.first = np.cumsum(self.counts) - self.counts
-        order = np.argsort(keys := np.concatenate([self.known, forms[fresh]]))
-        self.first, self.counts = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])[order], np.concatenate([self.counts, counts])[order]
-        self.known, self.flat = keys[order], np.concatenate([self.flat, flat])
+        into = np.searchsorted(self.known, forms[fresh])  # both are sorted
+        self.first, self.counts = np.insert(self.first, into, len(self.flat) + np.cumsum(counts) - counts), np.insert(self.counts, into, counts)
+        self.known, self.flat = np.insert(self.known, into, forms[fresh]), np.concatenate([self.flat, flat])
         at = np.searchsorted(self.known, forms)
         first, counts, flat = self.first[at], self.counts[at], self.flat
         each = counts[form]
@@ -283,6 +283,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", out: str =
             made = {"ids": lambda: ids, "n_tokens": lambda: list(map(len, ids)), "ids_sha256": lambda: [_sha(",".join([own.text_of[x] for x in row])) for row in ids], "decoded": lambda: decoded, "decoded_sha256": lambda: list(map(_sha, decoded))}
             for k in keep:
                 chunks[k].append(pa.array(made[k](), FIELDS[k][1]))
+        common.tidy()
         return pa.StructArray.from_arrays([pa.concat_arrays(chunks[k]) for k in keep], list(keep))
 
     return docs.withColumn(out, encoded(F.col(text_col)))

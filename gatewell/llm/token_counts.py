@@ -41,6 +41,7 @@ def token_count(spark, path: str, pattern: str):
         own, out = encoding(path, pattern), []
         for at in range(0, len(texts), 64):
             out += map(len, own.encode_ordinary_batch([t or "" for t in texts.slice(at, 64).to_pylist()], num_threads=1))
+        common.tidy()
         return pa.array(out, pa.int64())
 
     return counted
