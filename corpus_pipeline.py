@@ -33,16 +33,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component: that with the smallest id. Rows repeated under one id are cut to the first by text."""
-    docs = docs.select(*COLUMNS)
-    judged = neardup.near_duplicates(docs)
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left.select(*COLUMNS)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    once = left.filter("doc_id is not null").withColumn("__n", first).filter("__n = 1")
-    return once.select(*COLUMNS).unionByName(left.filter("doc_id is null").select(*COLUMNS))
+    """Keep one document of each component: that with the smallest id.
+
+    Rows of one id with different texts are judged as documents of their own, in order of id and then of a digest of
+    the text; rows equal in both are cut to one. Rows without an id stay, and so do empty texts. An empty table stays
+    empty; columns beside those of documents are dropped.
+    """
+    docs, key = docs.select(*COLUMNS), "doc_id"
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+        docs, key = docs.withColumn("__id", F.concat(order, F.md5(F.coalesce("text", F.lit("")).cast("binary")))), "__id"
+        first = F.row_number().over(Window.partitionBy("__id").orderBy("text", "source", "lang"))
+        ranked = docs.filter("doc_id is not null").withColumn("__n", first).filter("__n = 1").drop("__n")
+        docs = common.materialize(ranked.unionByName(docs.filter("doc_id is null")), "once")
+    gone = neardup.near_duplicates(docs, key).filter(~F.col("kept")).select(key)
+    return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
