@@ -16,6 +16,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,6 +31,7 @@ READ_BYTES = 8 << 20  # the longest coalesced read, unless a record is longer
 GAP_BYTES = 64 << 10  # unselected bytes that are read along rather than skipped
 TASK_BYTES = 32 << 20
 BATCH_BYTES = 16 << 20
+HOT_ROWS = 1000  # pages of one digest that a task takes at least
 DATE = "2024-01-01T00:00:00Z"
 INDEX = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("url", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("page_id", T.StringType())])
 RECORD = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("payload", T.BinaryType())])
@@ -39,41 +41,55 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
+def _line(name: str, value: str) -> str:
+    """A header line. A value that a line can't hold is escaped, and its name says so with a star."""
+    if value == value.strip() and not set(value) & {"\r", "\n"}:
+        return f"{name}: {value}"
+    return f"{name}*: " + quote(value, safe=":/?#[]@!$&'()*+,;=-._~")
 
 
-def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool, date: str = DATE) -> bytes:
-    """One WARC/1.1 record. A revisit has the HTTP header of its response, with the payload's length, but no payload."""
+def _fields(head: bytes) -> dict[str, str]:
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    return {k.removesuffix("*"): unquote(v) if k.endswith("*") else v for k, v in fields.items()}
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool, place: str, refers_to_url: str | None = None, date: str = DATE) -> bytes:
+    """One WARC/1.1 record. place (file and offset) makes its id, so repeated rows have ids of their own.
+
+    A revisit has the HTTP header of its response, with the payload's length, but no payload.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_line(url)}")
+        head.append(_line("WARC-Target-URI", url))
     if page_id is not None:
-        head.append(f"WARC-Page-ID: {_line(page_id)}")
+        head.append(_line("WARC-Page-ID", page_id))
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To-Date: {date}")
+        if refers_to_url is not None:
+            head.append(_line("WARC-Refers-To-Target-URI", refers_to_url))
         if refers_to is not None:
-            head.append(f"WARC-Refers-To-Page-ID: {_line(refers_to)}")
+            head.append(_line("WARC-Refers-To-Page-ID", refers_to))
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> dict:
     """The fields of RECORD. The digest of a response is taken from its payload and must be the one in its header."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    fields = _fields(head)
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
+    length = int(_fields(http)["Content-Length"])
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if kind == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
@@ -84,16 +100,28 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     """Write every row's html (UTF-8; null: empty) under root and return the index, which is written as well.
 
     Rows whose payloads, of at least least_bytes, are equal: those with the largest id are responses, the others
-    revisit it. Null ids are smallest; rows repeated with one id are one record each, alike. Digests meet as
-    (digest, largest id, count), never as pages; those that occur once are dropped before pages are joined with them.
+    revisit it. Null ids are smallest; rows repeated with one id are one record each, alike but for their record ids.
+    An empty table makes an empty index; other columns are left out, whatever their names. A page is held whole by its
+    task, a few copies of it.
+
+    Digests meet as (digest, largest id, count), map sides first, never as pages. The digests of so many pages that
+    they would fill a task by themselves are at most four a shuffle partition; these alone are broadcast, and their
+    pages dealt out evenly.
     """
-    common.ship(pages.sparkSession)
+    spark = pages.sparkSession
+    common.ship(spark)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    equal = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    judged = rows.join(equal.hint("shuffle_hash").withColumnRenamed("sha1", "same"), F.col("sha1") == F.col("same"), "left")
-    revisit = F.col("same").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    judged = judged.select(F.col("id").cast("string").alias("id"), "url", "payload", "sha1", F.when(revisit, F.col("first").cast("string")).alias("refers_to"), revisit.alias("revisit"))
+    equal = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    equal = common.materialize(equal.select(F.col("sha1").alias("same"), F.col("first.id").alias("first"), F.col("first.url").alias("first_url"), "n"), "digests")
+    lot = max(HOT_ROWS, (equal.agg(F.sum("n")).first()[0] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    common_ones = equal.filter(F.col("n") > lot).select(F.col("same").alias("hot"), F.struct("first", "first_url").alias("hot_first"))
+    rare = equal.filter(F.col("n") <= lot).select("same", F.struct("first", "first_url").alias("rare_first"))
+    known = rows.join(F.broadcast(common_ones), F.col("sha1") == F.col("hot"), "left")
+    dealt = known.withColumn("same", F.when(F.col("hot").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("-"), F.md5(F.concat_ws(" ", F.col("id").cast("string"), "url").cast("binary")))))
+    judged = dealt.join(rare.hint("shuffle_hash"), "same", "left").withColumn("of", F.coalesce("hot_first", "rare_first"))
+    revisit = F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("of.first"))
+    judged = judged.select(F.col("id").cast("string").alias("id"), "url", "payload", "sha1", F.when(revisit, F.col("of.first").cast("string")).alias("refers_to"), F.when(revisit, F.col("of.first_url")).alias("refers_to_url"), revisit.alias("revisit"))
 
     def archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = store(root)
@@ -109,7 +137,7 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = packer.compress(record(row["id"], row["url"], row["payload"], digest, row["refers_to"], row["revisit"])) + packer.flush()
+                data = packer.compress(record(row["id"], row["url"], row["payload"], digest, row["refers_to"], row["revisit"], f"{name}:{offset}", row["refers_to_url"])) + packer.flush()
                 out.write(data)
                 index.append((f"{root}/{name}", offset, len(data), row["url"], digest, "revisit" if row["revisit"] else "response", row["id"]))
                 offset += len(data)
