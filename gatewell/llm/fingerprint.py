@@ -1,7 +1,8 @@
 """Document fingerprints: bottom-k sketches of shingle hashes, in native DataFrame functions only.
 
-A text's words are runs of characters other than ASCII white space; its shingles are w consecutive words (a text of
-fewer words, but not none, is one shingle). The sketch holds the k smallest distinct 64-bit shingle hashes in order.
+A text's words are runs of characters other than ASCII white space; its shingles are w consecutive words. A text of
+fewer than FEW words, as one without spaces, has shingles of w consecutive code points instead, white space included (of
+fewer, but not none, one shingle). The sketch holds the k smallest distinct 64-bit shingle hashes in order.
 Sketches of parts merge into the sketch of the whole; two sketches estimate resemblance and containment, and one
 alone the number of distinct shingles. Null counts as the empty text, whose sketch is empty.
 """
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from gatewell.llm.common import let
 
-K, WORDS = 128, 5
+K, WORDS, FEW = 128, 5, 16
 MAX_BUCKETS = 16_384
 
 
@@ -26,8 +27,10 @@ def _column(c: Column | str) -> Column:
 
 def shingle_hashes(text: Column | str, w: int = WORDS) -> Column:
     """array<bigint>: the hash of every shingle, in order."""
-    words = F.array_remove(F.split(F.coalesce(_column(text), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
-    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    whole = F.coalesce(_column(text), F.lit(""))
+    points = F.when(F.length(whole) > 0, F.transform(F.split(whole, ""), lambda x: F.xxhash64(F.lit("point"), x))).otherwise(F.array().cast("array<bigint>"))
+    found = F.transform(F.array_remove(F.split(whole, "[ \\t\\n\\x0B\\f\\r]+"), ""), lambda x: F.xxhash64(x))
+    hashes = let(found, lambda h: F.when(F.size(h) >= FEW, h).otherwise(points))
 
     def of(h: Column) -> Column:
         slid = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (w - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, w)]))
@@ -125,7 +128,12 @@ def with_next(df: DataFrame, id_col: str, carried: dict[str, Column], order_col:
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WORDS) -> DataFrame:
     """Sketch each text, its next document's and its edited text's: the last third of the characters replaced by the
-    next document's first as many. Columns: id, n_chars, edited, sketch, edited_sketch, next_sketch."""
+    next document's first as many. Columns: id, n_chars, edited, sketch, edited_sketch, next_sketch.
+
+    Null texts count as empty; an empty table stays empty; other columns are left out, whatever their names. Rows of one
+    id, or without one, stand side by side in order of text; equal rows tie, which changes no result. A lone row is its
+    own next. A long text costs memory in proportion to its words.
+    """
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     paired = with_next(slim, "id", {"sketch": sketch("text", k, w), "body": F.col("text")}, "text")
     third = F.floor(F.length("text") / 3).cast("int")
