@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -75,6 +76,30 @@ def test_langid_code_length_is_that_of_plain_ppm():
     assert model.bits([long])[0, 0] == pytest.approx(model.bits([long[: langid.BLOCK // 2]])[0, 0] * 3, rel=0.05)
 
 
+def test_sample_by_label(spark):
+    rows = [(7, "big", "same")] * 3000 + [(k, "big", f"t{k}") for k in range(100, 120)] + [(1, "rare", "only"), (None, "rare", None), (5, None, "x")]
+    df = spark.createDataFrame(rows, "id int, label string, text string").repartition(7)
+    got = common.sample_by_label(df, "label", ["id", "text"], 5)
+    assert {r["id"] for r in got if r["label"] == "rare"} == {None, 1} and {r["id"] for r in got if r["label"] == "x"} == set()
+    assert len({(r["id"], r["text"]) for r in got if r["label"] == "big"}) == 5
+    assert {tuple(r) for r in common.sample_by_label(df.repartition(2), "label", ["id", "text"], 5)} == {tuple(r) for r in got}
+    assert common.sample_by_label(df.limit(0), "label", ["id"], 5) == []
+    assert 4 * 200 * 2**63 // 10**12 > 0  # a label of a trillion rows still has a bar
+
+
+def test_langid_trees_do_not_share_their_contexts():
+    own = [("en", say(EN, 60)) for _ in range(20)]
+    alone, among = langid.train(own, max_nodes=300), langid.train(own + [(f"x{k}", say(DE, 3000)) for k in range(6)], max_nodes=300)
+    text = [say(EN, 30).encode()]
+    assert among.bits(text)[0, 0] == pytest.approx(alone.bits(text)[0, 0], rel=1e-5)
+
+
+def test_langid_ties_and_clashes(spark):
+    model = langid.train([("b", "same text"), ("a", "same text")])
+    out = langid.identify(spark.createDataFrame([(1, "same", "own")], "doc_id int, text string, language string"), model, out="language").first()
+    assert out["language"]["lang_pred"] == "a" and out["language"]["score"] == pytest.approx(0.5)
+
+
 def test_quality(spark):
     good, bad = [say(EN, 50) for _ in range(60)], [say(["@@", "##", "!!"], 50) for _ in range(60)]
     net = quality.train([(1, t) for t in good[:40]] + [(0, t) for t in bad[:40]], steps=120)
@@ -132,7 +157,8 @@ def test_fingerprint(spark):
     rows = fingerprint.fingerprint_edits(docs).withColumn("near", fingerprint.resemblance("sketch", "edited_sketch")).collect()
     order = sorted(range(len(texts)), reverse=True)
     of = {r["doc_id"]: r for r in rows}
-    shingles = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(re.findall("[^\x20\x09-\x0d]+", t))
+    units = lambda t: w if len(w := re.findall("[^\x20\x09-\x0d]+", t)) >= fingerprint.FEW else list(t)
+    shingles = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(units(t))
     for k, i in enumerate(order):
         t, after = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
@@ -141,8 +167,8 @@ def test_fingerprint(spark):
         assert abs(of[i]["near"] - (len(a & b) / len(a | b) if a | b else 1)) < 0.25
     ties = fingerprint.fingerprint_edits(table(spark, ["aaa", "bbb", "ccc", None], [7, 7, None, None])).collect()
     assert len(ties) == 4 and fingerprint.fingerprint_edits(docs.limit(0)).count() == 0
-    halves = spark.createDataFrame([("g", "a b c d e f g"), ("g", "h i j k l m n")], "g string, text string").select("g", fingerprint.sketch("text").alias("s"))
-    assert len(fingerprint.sketch_of_parts(halves, ["g"], "s").first()["s"]) == 6
+    halves = spark.createDataFrame([("g", "a b c d e f g h i j k l m n o p"), ("g", "A B C D E F G H I J K L M N O P")], "g string, text string").select("g", fingerprint.sketch("text").alias("s"))
+    assert len(fingerprint.sketch_of_parts(halves, ["g"], "s").first()["s"]) == 24
 
 
 def brute_components(texts):
@@ -182,6 +208,55 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(table(spark, texts).limit(0)).count() == 0
 
 
+def test_sketch_memory_is_bounded_by_texts():
+    """10,000 short texts in one batch: what a worker holds at most, by the process's own figures."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa
+from gatewell.llm import neardup
+texts = pa.array([f'w{k} w{k % 7} w{k % 11} x y' for k in range(10_000)])
+neardup.sketches(texts.slice(0, 10))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+neardup.sketches(texts)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    took = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert took < 60
+
+
+def test_near_duplicates_recall_of_queries(spark):
+    """Ids divisible by 50 against all rows: every pair of a similarity of 0.8 or more is in one component, by brute force."""
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    component = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    pairs = [(i, j) for i in sets if i % 50 == 0 for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert pairs and all(component[i] == component[j] for i, j in pairs)
+
+
+def test_near_duplicates_hot_groups(spark, monkeypatch):
+    """A star of near copies beyond one lot, pairs just under the similarity, one id with several texts, clashing names."""
+    monkeypatch.setattr(neardup, "LOT", 4)
+    words = [f"w{k}" for k in range(400)]
+    base = say(words, 120).split()
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(14)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    docs = table(spark, texts).withColumns({"id": F.lit(1), "n": F.lit(2), "key": F.lit(3), "component": F.lit(4)})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(texts)
+    twice = neardup.near_duplicates(table(spark, [texts[0], "other words here", texts[0], "other words here now"], [5, 5, 2, 9])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in twice} == {(5, 2), (2, 2), (9, 9)}
+
+
 def base_spans(t):
     assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
@@ -216,6 +291,23 @@ def test_secrets_bare_copies(spark):
     assert spans[12] == [(short, 3, 5), (letters, 3, 4)] and spans[13] == [(short, 3, 5)]
 
 
+def test_secrets_long_texts_clashes_and_owners(spark):
+    """Thousands of matches in one text; a key named like a column; many repositories of one owner."""
+    value = "Zx9kLm2pQr4tVw6y"
+    long = " ".join(f"token = {value}{k} and 0123456789abcdef{k:04x}" for k in range(1500))
+    docs = spark.createDataFrame([(1, long, "s"), *[(10 + k, "secret: manyCopies123456", "one") for k in range(60)], (99, "secret: fewCopies1234567", "one")], "value int, text string, source string")
+    rows = {r["value"]: r["spans"] for r in secrets.scan(docs, ["value"], repo_col="value").collect()}
+    assert [(s["start"], s["rank"], s["end"]) for s in rows[1]] == base_spans(long)
+    assert [s["live"] for s in rows[10]] == [False] and [s["live"] for s in rows[99]] == [True]
+    spans = [(s["start"], s["end"]) for s in rows[1]]
+    want, at = [], 0
+    for a, b in spans:
+        want += [long[at:a], secrets.MARK] if a >= at else []
+        at = max(at, b)
+    df = spark.createDataFrame([(long, spans)], "t string, spans array<struct<start:bigint,end:bigint>>")
+    assert df.select(secrets.redact(F.col("t"), F.col("spans"))).first()[0] == "".join(want) + long[at:]
+
+
 def test_pieces(spark, monkeypatch):
     own, library = pieces.Codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     parts = [*"ab  \n\t.,eéß中日ﬁ😀▁", "\x00", "￿", "the", "<s>", "<unk>", "<0x41>", "   ", "　", "Straße"]
@@ -251,6 +343,63 @@ def test_warc(spark):
     assert warc.read(warc.write(df.limit(0), common.scratch_path(spark, "warc"))).count() == 0
 
 
+def test_warc_hot_digests_and_urls(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 3)
+    urls = ["http://a/x%0Ay", "http://a/x\ny", " edge ", "", None, "http://a/é", "a: b"]
+    pages = [(k, urls[k % len(urls)], "common page") for k in range(60)] + [(100 + k, "u", f"p{k % 20}") for k in range(40)] + [(7, "again", "common page")] * 2
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumns({"digest": F.lit("own"), "sha1": F.lit(1), "first": F.lit(2)}).repartition(5)
+    got = sorted((int(r["page_id"]), r["url"] or "", r["record_type"], r["refers_to"] or "", r["payload_bytes"]) for r in warc.read(warc.write(df, common.scratch_path(spark, "warc"))).collect())
+    last = {h: max(i for i, _, x in pages if x == h) for _, _, h in pages}
+    assert got == sorted((i, u or "", "response" if last[h] == i else "revisit", "" if last[h] == i else str(last[h]), len(h)) for i, u, h in pages)
+
+
+def test_html_agrees_with_the_pages_it_is_made_of():
+    """Random pages of article parts and furniture, of which the main text is known."""
+    tree, words = html_text.train(), lambda n: " ".join(rng.choice(EN) for _ in range(n))
+
+    def part() -> tuple[str, str]:
+        text = words(rng.choice([1, 3, 8, 25, 90]))
+        tag = rng.choice(["p", "h2", "h3", "blockquote", "li", "pre"])
+        name = rng.choice(["", "", "", " class='legal-analysis'", " id=search-methods", " class=has-ads", " class='side-effects'"])
+        return f"<{tag}{name}>{text}</{tag}>", text
+
+    def furniture() -> str:
+        links = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in words(rng.randrange(2, 9)).split())
+        text = words(rng.choice([2, 9, 30, 90]))
+        return rng.choice([f"<nav><ul>{links}</ul></nav>", f"<div class='ad'>{text}</div>", f"<aside>{text}</aside>", f"<div id=cookie-notice><p>{text}</p></div>", f"<form><label>{text}</label></form>", f"<script>var x='{text}'</script>", f"<div class='sidebar widget'><p>{text}</p></div>", f"<div class=comments><p>{text}</p><p>{text}</p></div>", f"<div hidden><p>{text}</p></div>", f"<header><p>{text}</p></header>", f"<!-- {text} -->", f"<section class=comment-list><article><p>{text}</p></article></section>"])
+
+    for _ in range(300):
+        parts = [part() for _ in range(rng.randrange(1, 12))]
+        inside = "".join(p + (rng.choice([f"<div class=share><a href=/s>{words(2)}</a></div>", f"<div class='ads'>{words(12)}</div>", f"<aside><p>{words(40)}</p></aside>"]) if rng.random() < 0.2 else "") for p, _ in parts)
+        wrap = rng.choice(["{}", "<div class='has-sidebar'>{}</div>", "<form>{}</form>", "<div id=page><div class=content>{}</div></div>"])
+        tag = rng.choice(["article", "main"])
+        body = wrap.format("".join(furniture() for _ in range(rng.randrange(3))) + f"<{tag}><h1>{words(5)}</h1>{inside}</{tag}>" + "".join(furniture() for _ in range(rng.randrange(3))))
+        want = " ".join([re.search("<h1>(.*?)</h1>", body)[1], *(t for _, t in parts)])
+        assert html_text.extract(f"<html><body>{body}</body></html>", tree) == want, body
+
+
+def test_html_pages_without_article():
+    tree, text = html_text.train(), lambda n: " ".join(rng.choice(EN) for _ in range(n))
+    for _ in range(50):
+        parts = [text(rng.choice([12, 40, 90])) for _ in range(rng.randrange(2, 9))]
+        links = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in text(6).split())
+        page = f"<body><ul>{links}</ul><div class=banner>{text(9)}</div>" + "".join(f"<div><p>{p}</p></div>" for p in parts) + f"<ul>{links}</ul><footer>{text(20)}</footer></body>"
+        assert html_text.extract(page, tree) == " ".join(parts)
+
+
+def test_html_the_tree_decides():
+    """Without the numbers of the neighbours, or of the links, other blocks are kept."""
+    assert {"words", "link_density", "link_density_after"} <= {f for f in used(html_text.train())}
+    long, link = "word " * 40, "<a href=x>" + "link " * 40 + "</a>"
+    assert html_text.extract(f"<article><section id=toc><p>{long}</p></section></article>", html_text.train()) == long.strip()
+    assert html_text.extract(f"<article><section id=toc><p>{link}</p></section></article>", html_text.train()) == ""
+    assert html_text.extract(f"<div><p>{long}</p><p>{link}</p></div>", html_text.train()) == long.strip()
+
+
+def used(node):
+    return [] if node.feature < 0 else [html_text.FEATURES[node.feature], *used(node.low), *used(node.high)]
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies on this site to serve you a better experience every day.</div>
