@@ -6,10 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from gatewell.plans import catalog
+from gatewell.plans import cases, catalog  # noqa: F401  (cases registers its queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "customer orders events documents labels conversations pages benchmark".split()
+TABLES = "region nation customer orders events documents labels conversations pages benchmark".split()
 
 
 @pytest.fixture(scope="module")
