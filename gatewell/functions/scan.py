@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewell.functions import contacts, fragments, lexicons, screens
-from gatewell.functions.lexicons import union
+from gatewell.functions.lexicons import joined
 from gatewell.functions.views import id_form, views_of
 
 KINDS = ("identifier", "contact", "instruction", "policy_control", "solicitation", "money", "giving_history")  # in order of precedence
@@ -26,7 +26,7 @@ WINDOW = {"contact": 128, "instruction": 128, "policy_control": 64, "giving_hist
 MOST, TRIMMED = 192, " \t\r\n.,;:!?"
 REMEMBERED = 4_096  # texts whose screens a worker remembers: a campaign's own come back with every record
 
-_patterns = {name: re.compile(union([p for p in patterns if p != screens.ODD_MONEY]), re.I) for name, patterns in screens.PATTERNS.items()}
+_patterns = {name: re.compile(joined([p for p in patterns if p != screens.ODD_MONEY]), re.I) for name, patterns in screens.PATTERNS.items()}
 _mark = re.compile(screens._MARK, re.I)
 _id_signs = re.compile(r"[._:-]+")
 _address_cue = re.compile(contacts.ADDRESS_CUE, re.I)
@@ -283,7 +283,7 @@ def request_reason(campaign: dict):
 
 
 _url = re.compile(lexicons.URL, re.I)
-_pressure, _claims = re.compile(union(lexicons.PRESSURE), re.I), {code: re.compile(p, re.I) for code, p in lexicons.CLAIMS.items()}
+_pressure, _claims = re.compile(joined(lexicons.PRESSURE), re.I), {code: re.compile(p, re.I) for code, p in lexicons.CLAIMS.items()}
 _html = re.compile(lexicons.HTML)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewell.functions import contacts, lexicons
-from gatewell.functions.lexicons import JAVA, union
+from gatewell.functions.lexicons import JAVA, joined
 
 # Words and signs of money.
 ISO_4217 = """AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY
@@ -86,7 +86,7 @@ PATTERNS: dict[str, list[str]] = {
 
 def hit(own: Column, name: str) -> Column:
     """Whether a screen's patterns occur in one of the views."""
-    pattern = JAVA + union(PATTERNS[name])
+    pattern = JAVA + joined(PATTERNS[name])
 
     def found(v: Column) -> Column:
         if name == "policy_control":

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gatewell.operators.policy import Policy
 
@@ -59,6 +58,7 @@ def donor_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as facts of their sources: ids repeat within a source, approval comes from the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     fact_id = F.concat(F.lit("donor.doc-"), (F.col("doc_id") % 500).cast("string"))
-    first = F.min("doc_id").over(Window.partitionBy("source", "fact_id"))
-    rows = docs.withColumn("fact_id", fact_id).join(labels, "doc_id", "left")
-    return rows.select("doc_id", "source", "fact_id", "text", (F.col("quality") == 1).alias("approved"), (F.col("doc_id") == first).alias("first_of_id"))
+    # the first of each id is found on narrow rows; texts meet it by their own key, as they meet their labels
+    first = docs.select("doc_id", "source", fact_id.alias("fact_id")).groupBy("source", "fact_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    rows = docs.withColumn("fact_id", fact_id).join(first, "doc_id", "left").join(labels, "doc_id", "left")
+    return rows.select("doc_id", "source", "fact_id", "text", (F.col("quality") == 1).alias("approved"), F.coalesce("first", F.lit(False)).alias("first_of_id"))

@@ -109,7 +109,8 @@ def status_counts(spark, sf_dir):
 
 @query(f"select custkey, segment, ask_cents, r as reasons from ({STAGES}) where r <> ''")
 def review_gates(spark, sf_dir):
-    rows = ask_amount(spark, sf_dir).join(donors(spark, sf_dir).select("custkey", "segment"), "custkey")
+    asked = money.ask_cents(F.col("last_gift_cents"), POLICY.multiplier, POLICY.increment, POLICY.least, POLICY.most)
+    rows = donors(spark, sf_dir).select("custkey", "segment", asked.alias("ask_cents"))
     reasons = policy.collect((F.col("segment").isin(*POLICY.review_segments), "relationship_managed_segment"), (F.col("ask_cents") >= POLICY.review_from, "high_value_ask"))
     return rows.select("custkey", "segment", "ask_cents", F.array_join(reasons, ",").alias("reasons")).filter("reasons <> ''")
 
