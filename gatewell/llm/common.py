@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SHORT = 64  # elements of an array that are gone through in the plain way
 _libc = ctypes.CDLL(None)
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
@@ -141,8 +142,8 @@ def let(value: Column, body) -> Column:
 def running(values: Column, fold=lambda a, n: a + n) -> Column:
     """array<bigint>: the sum (or another fold from 0) of values (array<bigint>) up to and with each element.
 
-    Folds are made in stretches of about the square root of the array's size, so that a long array costs that root a
-    time its size, not its square.
+    Beyond SHORT elements folds are made in stretches of about the square root of the array's size, so that a long array
+    costs that root a time its size, not its square.
     """
     none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
 
@@ -155,4 +156,4 @@ def running(values: Column, fold=lambda a, n: a + n) -> Column:
         stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(part) - 1) / step).cast("int")), lambda k: F.slice(part, k * step + 1, step))
         return let(stretches, lambda them: let(folds(F.transform(them, lambda x: F.aggregate(x, zero, fold)), zero), lambda ends: F.flatten(F.transform(them, lambda x, k: folds(x, F.coalesce(F.get(ends, k - 1), zero))))))
 
-    return let(values, lambda part: F.when(F.size(part) > 0, whole(part)).otherwise(none))
+    return let(values, lambda part: F.when(F.size(part) > SHORT, whole(part)).otherwise(folds(part, zero)))

@@ -91,7 +91,8 @@ def _uncovered(spans: Column, base: Column) -> Column:
         lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(sorted_base) - 1) / step).cast("int")), lambda k: common.let(F.slice(sorted_base, k * step + 1, step), lambda part: F.struct(F.get(part, F.lit(0))["start"].alias("start"), F.array_max(F.transform(part, lambda y: y["end"])).alias("end"), part.alias("part"))))
         return common.let(lots, lambda them: F.filter(spans, lambda x: ~F.exists(them, lambda k: F.when(covers(k, x), F.exists(k["part"], lambda y: covers(y, x))).otherwise(False))))
 
-    return F.when(F.size(base) > 0, common.let(F.sort_array(base), within)).otherwise(spans)
+    plain = F.filter(spans, lambda x: ~F.exists(base, lambda y: covers(y, x)))
+    return F.when(F.size(base) > common.SHORT, common.let(F.sort_array(base), within)).otherwise(plain)
 
 
 def candidates(text: Column) -> Column:
@@ -128,8 +129,8 @@ def scan(docs: DataFrame, keys: list[str], text_col: str = "text", repo_col: str
     seen = by_owner.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("named").alias("named"), F.max("base").alias("base")).filter("base = 1").drop("base")
     seen = common.materialize(seen, "verdicts")
     live = ((F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos)).alias("live")
-    judged = each.select("row", "s").withColumn("value", F.col("s.value")).join(seen, "value").filter((F.col("s.rank") < 3) | (F.col("named") == 1))
-    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.value", "n_repos", "n_owners", live))).alias("judged"))
+    judged = each.select("row", "s.*").join(seen, "value").filter((F.col("rank") < 3) | (F.col("named") == 1))
+    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "value", "n_repos", "n_owners", live))).alias("judged"))
     joined = held.drop("repo", "owner", "spans").join(spans, "row", "left")
     empty = F.array().cast(spans.schema["judged"].dataType)
     return joined.select(*[F.col(f"key_{k}").alias(c) for k, c in enumerate(keys)], F.coalesce("judged", empty).alias("spans"))
