@@ -12,6 +12,7 @@ import zipfile
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -157,3 +158,47 @@ def running(values: Column, fold=lambda a, n: a + n) -> Column:
         return let(stretches, lambda them: let(folds(F.transform(them, lambda x: F.aggregate(x, zero, fold)), zero), lambda ends: F.flatten(F.transform(them, lambda x, k: folds(x, F.coalesce(F.get(ends, k - 1), zero))))))
 
     return let(values, lambda part: F.when(F.size(part) > SHORT, whole(part)).otherwise(folds(part, zero)))
+
+
+_G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (splitmix)."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+STRETCH = 500_000
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _G)
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and sizes of the words of bytes that are parted by spaces and end with one.
+
+    They are hashed in stretches of about STRETCH that end at a space, so long data cost their words at 24 bytes each,
+    not temporaries of their size.
+    """
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while at < len(data):
+        end = data.find(b" ", min(len(data) - 1, at + STRETCH)) + 1
+        hashes, starts, sizes = _stretch(np.frombuffer(data, np.uint8, end - at, at))
+        parts.append((hashes, starts + at, sizes))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blank = data == 0x20
+    edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+    power = np.cumprod(np.full(int(sizes.max()), _M2, np.uint64))
+    weighed = power[place]
+    weighed *= _BYTE[data[~blank]]
+    return mix(np.add.reduceat(weighed, first) + sizes.astype(np.uint64)), starts, sizes

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewell.llm import common
+from gatewell.llm.common import _G, _M1, _M2, mix
 
 BANDS, ROWS = 36, 5
 BINS = BANDS * ROWS
@@ -33,52 +34,13 @@ SUB_BYTES, SUB_TEXTS = 500_000, 400  # text and texts hashed at once, which boun
 LOT = 512  # pairs of one centre that meet in a task
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
-_G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (splitmix)."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _G)
 _PROBES = np.random.default_rng(20240229).integers(0, BINS, (BINS, 4 * BINS))  # each empty bin's own sequence
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word (a run of bytes other than ASCII white space), A-Z in lower case.
-
-    The joined texts are hashed in stretches of about SUB_BYTES that end at white space, so a long text costs its words
-    at 16 bytes each, not temporaries of its size.
-    """
-    data = b" ".join(texts).translate(_FOLD) + b" "
-    hashes, places, at = [], [], 0
-    while at < len(data):
-        end = data.find(b" ", min(len(data) - 1, at + SUB_BYTES)) + 1
-        found, starts = _stretch(np.frombuffer(data, np.uint8, end - at, at))
-        hashes.append(found)
-        places.append(starts + at)
-        at = end
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return np.concatenate(hashes), np.searchsorted(limits, np.concatenate(places), side="right")
-
-
-def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of folded bytes that end with a space."""
-    blank = data == 0x20
-    edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
-    power = np.cumprod(np.full(int(sizes.max()), _M2, np.uint64))
-    weighed = power[place]
-    weighed *= _BYTE[data[~blank]]
-    return mix(np.add.reduceat(weighed, first) + sizes.astype(np.uint64)), starts
+    """Hash and text number of every word (a run of bytes other than ASCII white space), A-Z in lower case."""
+    hashes, starts, _ = common.hashed_words(b" ".join(texts).translate(_FOLD) + b" ")
+    return hashes, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
 
 
 def shingle_sets(texts: list[str | None], words: int = 2) -> tuple[np.ndarray, np.ndarray]:
