@@ -28,7 +28,7 @@ from gatewell.llm import common
 SPACE = "▁"
 LATIN = 0x250  # below, pairs of characters are looked up in a table; above, in a sorted list
 ROW = 24  # characters of the longest part that is merged in numpy
-REMEMBERED = 600_000  # distinct parts whose ids a worker remembers; about 25 MB
+REMEMBERED = 1_000_000  # distinct parts whose ids a worker remembers; about 40 MB
 BATCH_CHARS = 500_000  # of texts encoded at once, which bounds the temporaries
 END = "￿"  # not a character of any vocabulary; stands between texts
 
