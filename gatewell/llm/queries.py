@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm import common, decontam, fingerprint, html_text, langid, neardup, pieces, quality, secrets, token_counts, warc
+from gatewell.llm import common, decontam, fingerprint, html_text, langid, neardup, pieces, quality, secrets, sql, token_counts, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the query; the others are held against brute force in tests/llm/test_queries.py."""
+    return {"op3_decontamination": sql.DECONTAMINATION, "op5_near_duplicates": sql.NEAR_DUPLICATES, "op8_warc": sql.WARC}

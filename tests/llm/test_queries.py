@@ -252,3 +252,17 @@ def test_pipeline(spark):
         want[i] = len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids))
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in __spark_entry__.queries()["pipeline"](spark, SF).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["op3_decontamination", "op5_near_duplicates", "op8_warc"])
+def test_sql(spark, name):
+    """The SQL gives the rows of the query."""
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    sql = __spark_entry__.oracle_sql()[name]
+    df = __spark_entry__.queries()[name](spark, SF)
+    want = duck.sql(sql)
+    assert sorted(df.columns) == sorted(want.columns)
+    rows = duck.sql(f"select {', '.join(sorted(want.columns))} from ({sql})").fetchall()
+    assert sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect()) == sorted(tuple(map(str, r)) for r in rows)
