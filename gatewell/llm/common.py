@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,6 +85,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def written() -> list[str]:
+    """The paths of scratch tables that have not been released yet."""
+    return [path for _, path in _written]
+
+
 def release(*frames: DataFrame | str) -> None:
     """Delete tables that materialize() wrote, once nothing reads them any more."""
     for x in frames:
@@ -94,7 +100,7 @@ def release(*frames: DataFrame | str) -> None:
                 jvm = spark.sparkContext._jvm
                 at = jvm.org.apache.hadoop.fs.Path(known)
                 at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            except Exception:  # the session may be gone; the folder then stays for the cluster's own clean-up
+            except (Py4JError, OSError, AttributeError):  # the session may be gone; the folder then stays for the cluster's own clean-up
                 pass
 
 

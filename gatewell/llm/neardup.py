@@ -216,8 +216,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
     """A row per row of docs: id, n_shingles, component_id (the smallest id reachable by links), kept.
 
-    Rows with one id are one document with several texts. Null and empty texts have an empty set and link with
-    nothing. Rows with a null id stand alone: their component is null and they are kept.
+    Rows with one id are one document with several texts; repeated rows are reported as often. Null and empty texts have
+    an empty set and link with nothing. Rows with a null id stand alone: their component is null and they are kept. Equal
+    sets tie for the smallest id. An empty table stays empty; other columns are left out, whatever their names. A long
+    text costs memory in proportion to its words.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

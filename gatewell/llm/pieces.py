@@ -268,8 +268,10 @@ def _sha(text: str) -> str:
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", out: str = "encoded", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """docs with a struct column `out` of those of FIELDS that keep asks for.
 
-    path names the model file on every executor. Null texts count as empty: no ids and an empty decoding. Rows are
-    kept as they come, repeated ones too; a column of the name `out` is replaced.
+    path names the model file on every executor; a model that this codec does not read as the library does fails its
+    checks. Null texts count as empty: no ids and an empty decoding. Rows are kept as they come, repeated ones too, and
+    an empty table stays empty; a column of the name `out` is replaced. Of pairs with one score the leftmost is merged
+    first. Long texts are encoded whole, part by part, in memory in proportion to their length.
     """
     common.ship(docs.sparkSession)
 
