@@ -27,7 +27,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what has no language: null texts and texts without a letter."""
+    """Drop what has no language: null texts and texts without a letter. Repeated rows stay; an empty table stays empty."""
     found = langid.identify(docs.select(*COLUMNS), langid.fit(docs), out="__language")
     return found.filter(F.col("__language.lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents."""
+    """Drop contaminated documents. Null texts have no words and stay; rows repeated in id and text share their fate."""
     keyed = _keyed(docs)
     found = decontam.contamination(keyed, common.table(spark, sf_dir, "benchmark"), ["__key"])
     gone = found.filter("contaminated").select("__key").distinct()
@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blank out the secrets that look live; widely copied examples stay. n_chars follows the text."""
+    """Blank out the secrets that look live; widely copied examples stay. n_chars follows the text. No row goes; null texts stay null."""
     keyed = _keyed(docs)
     found = secrets.scan(keyed, ["__key"]).select("__key", F.filter("spans", lambda s: s["live"]).alias("spans"))
     live = found.filter(F.size("spans") > 0).dropDuplicates(["__key"])
@@ -71,7 +71,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, their number, and digests of the ids and of what they decode to."""
+    """Ids of each document, their number, and digests of the ids and of what they decode to. Null texts have no ids."""
     made = pieces.encode_decode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("piece_bpe_32k.model"), keep=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
     return made.select("doc_id", "lang", "source", "encoded.*")
 
@@ -86,7 +86,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents table of sf_dir.
+
+    Each stage is written before the next begins, and what it and its predecessor have written besides is deleted then.
+    Columns that documents has beside COLUMNS are left out, whatever their names; an empty table gives an empty result.
+    """
     docs = common.table(spark, sf_dir, "documents")
+    before = set(common.written())
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release(*[path for path in common.written() if path not in before and path != docs._scratch])
     return docs
