@@ -31,7 +31,7 @@ LEAST = 12  # characters of an assigned value
 KINDS = ("assign", "access", "hex", "bare")
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 50  # a value under so many owners, or in so many repositories, is a copied example
 MARK = "[REDACTED]"
-SPAN = "struct<start:bigint,rank:int,end:bigint,value:string>"
+SPAN = "struct<start:bigint,rank:int,end:bigint,value:binary>"
 
 
 def _credential(value: Column) -> Column:
@@ -39,7 +39,7 @@ def _credential(value: Column) -> Column:
 
 
 def _hash(value: Column) -> Column:
-    return F.sha2(value.cast("binary"), 256)
+    return F.unhex(F.sha2(value.cast("binary"), 256))
 
 
 def _spans(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
@@ -111,7 +111,7 @@ def candidates(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, keys: list[str], text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
-    """A row per document: keys and `spans`, array of (start, rank, end, value hash, n_repos, n_owners, live).
+    """A row per document: keys and `spans`, array of (start, rank, end, value: SHA-256, n_repos, n_owners, live).
 
     Null texts count as empty and rows without spans are kept, repeated rows too; an empty table stays empty. A null
     owner or repository counts as one of its own; equal values tie and are all listed. A key may have any name but
