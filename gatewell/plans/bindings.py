@@ -54,6 +54,11 @@ def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as shuffles have: few bytes that cost much work must not be put together in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def donor_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as facts of their sources: ids repeat within a source, approval comes from the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatewell.functions import fingerprint, scan, screens, seams, shipping, views
 from gatewell.operators import draft, facts, giving, policy
 from gatewell.plans import engine
-from gatewell.plans.bindings import donors, table
+from gatewell.plans.bindings import dealt, donors, table
 from gatewell.plans.catalog import query
 from gatewell.sources import schemas
 
@@ -181,5 +181,5 @@ def donor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when s <> '' then s when b <> '' then b when p <> '' then p else r end as reasons, case when s = '' and b = '' and p = '' then ask end as ask_cents, 'CUST-' || k as donor_id from told""")
 def engine_results(spark, sf_dir):
     """The whole pipeline over the customers as JSON lines: schema, decision, request checks, draft, guard, result."""
-    found = engine.run(donor_lines(spark, sf_dir), CAMPAIGN)
+    found = engine.run(dealt(donor_lines(spark, sf_dir)), CAMPAIGN)
     return found.select(F.col("record_index").alias("custkey"), "status", F.array_join("reason_codes", ",").alias("reasons"), "ask_cents", "donor_id")

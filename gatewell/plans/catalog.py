@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewell.functions import fingerprint, lexicons, money
 from gatewell.operators import draft, facts, policy
-from gatewell.plans.bindings import POLICY, contacts, donor_facts, donors, gifts, table
+from gatewell.plans.bindings import POLICY, contacts, dealt, donor_facts, donors, gifts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,7 @@ def query(oracle: str | None = None):
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.decide(donors(spark, sf_dir), POLICY)
+    return policy.decide(dealt(donors(spark, sf_dir)), POLICY)
 
 
 @query(f"select custkey, {ASK} as ask_cents from ({DONORS})")
