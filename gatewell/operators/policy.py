@@ -73,6 +73,7 @@ def decide(donors: DataFrame, policy: Policy, fact_flags: dict[str, Column] | No
     named = identity_views(F.col("first_name"), F.col("last_name"), F.col("title"))
     rows = rows.withColumn("__kinds", scan.texts_kinds(named, F.col("donor_id"), F.col("first_name"), F.col("last_name"), literals))
     is_kind = lambda name: F.array_contains("__kinds", name)
+    # the codes are fixed values, as is their order
     stopped = collect((F.col("do_not_contact"), "do_not_contact"), (F.col("consent") == "denied", "consent_denied"))
     blocked = collect(
         (F.col("consent") == "unknown", "consent_unknown"),
