@@ -13,13 +13,15 @@ together then get further centres, one in each of sixteen times as many classes
 components first, until every bucket's members are in one component or have all been compared: no bucket is cut off,
 and pairs are made of what the sketches leave, not of a bucket's square. A centre is an aggregate of its bucket, so
 map sides combine; the joins by bucket are plain ones whose large partitions Spark splits.
-Components are found by alternating stars, in tables on the shared folder, until nothing changes.
+Components are found by alternating stars, in tables on the shared folder, until at most FEW edges are left, which one
+task joins up, or nothing changes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,7 @@ BINS = BANDS * ROWS
 WORDS64 = 16  # of 64 bits in a parity sketch
 SUB_BYTES, SUB_TEXTS = 500_000, 400  # text and texts hashed at once, which bound the temporaries
 LOT = 512  # pairs of one centre that meet in a task
+FEW = 1_000_000  # edges that one task joins up
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _PROBES = np.random.default_rng(20240229).integers(0, BINS, (BINS, 4 * BINS))  # each empty bin's own sequence
@@ -188,13 +191,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     return joined.select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("sum")).filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of the nodes 0 to n - 1 reaches by the edges (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # roots hang on their smallest neighbour
+        while not np.array_equal(further := root[root], root):
+            root = further
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _joined_up(batches):
+    """All edges (a, b), read in one task, as (node, component)."""
+    held = list(batches)
+    if held:
+        edges = pa.Table.from_batches(held)
+        ends = pa.chunked_array(edges["a"].chunks + edges["b"].chunks).combine_chunks()
+        nodes = ends.unique()
+        nodes = nodes.take(pc.sort_indices(nodes))
+        at = pc.index_in(ends, nodes).to_numpy()
+        root = smallest(at[: len(edges)], at[len(edges) :], len(nodes))
+        yield from pa.table({"node": nodes, "component": nodes.take(pa.array(root))}).to_batches(max_chunksize=10_000)
+    common.tidy()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b), component being its smallest node.
 
-    Large-star and small-star alternate until nothing changes. Each step groups by node for a minimum, which is
-    pre-aggregated, and joins it back; nothing but a count and a checksum reaches the driver.
+    At most FEW edges are joined up in one task. Of more, large-star and small-star alternate, which only lessens them,
+    until they are few or nothing changes. Each step groups by node for a minimum, which is pre-aggregated, and joins it
+    back; nothing but a count and a checksum reaches the driver. Nodes other than integers and strings have stars alone.
     """
-    held = common.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    common.ship(edges.sparkSession)
+    edges = edges.filter("a <> b") if getattr(edges, "_scratch", None) else common.materialize(edges.filter("a <> b"), "edges")
+    kind = edges.schema["a"].dataType
+    joinable = kind in (T.LongType(), T.IntegerType(), T.StringType())
+    joined_up = lambda few: few.coalesce(1).mapInArrow(_joined_up, T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
+    if joinable and edges.count() <= FEW:
+        return joined_up(edges)
+    held = common.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -206,6 +244,8 @@ def components(edges: DataFrame) -> DataFrame:
         common.release(held)
         held = after
         now = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if joinable and now[0] <= FEW:
+            return joined_up(held)
         if now == state:
             break
         state = now

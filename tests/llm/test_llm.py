@@ -257,6 +257,24 @@ def test_near_duplicates_hot_groups(spark, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in twice} == {(5, 2), (2, 2), (9, 9)}
 
 
+def test_components_of_few_edges_are_joined_up_at_once(spark, monkeypatch):
+    """A long path, a star, a pair twice and a loop: with few edges one table is written; more of them give the same."""
+    path = [(k, k + 1) for k in range(100, 160)]
+    edges = [*path, *[(9, k) for k in range(5)], (-7, 200), (200, -7), (50, 50)]
+    rng.shuffle(edges)
+    want = {k: 100 for k in range(100, 161)} | dict.fromkeys([0, 1, 2, 3, 4, 9], 0) | dict.fromkeys([-7, 200], -7)
+    tables, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag: tables.append(tag) or write(df, tag))
+    asked = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    assert dict(map(tuple, neardup.components(asked).collect())) == want and len(tables) == 1
+    names = asked.select(F.concat(F.lit("n"), F.col("a") + 300).alias("a"), F.concat(F.lit("n"), F.col("b") + 300).alias("b"))
+    assert dict(map(tuple, neardup.components(names).collect())) == {f"n{k + 300}": f"n{v + 300}" for k, v in want.items()}
+    assert neardup.components(asked.limit(0)).count() == 0
+    for few in (66, 0):
+        monkeypatch.setattr(neardup, "FEW", few)
+        assert dict(map(tuple, neardup.components(asked).collect())) == want
+
+
 def base_spans(t):
     assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
